@@ -1,0 +1,5 @@
+"""The engine's own queries with their SQL."""
+
+from weft.registry import Registry
+
+CORE = Registry()
