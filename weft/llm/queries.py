@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import packing, repeated, residue, splitting
+from weft.llm import furniture, packing, repeated, residue, splitting
 from weft.registry import Registry
 from weft.sources.tables import cache_text, latest_delivery, table
 
@@ -87,3 +87,15 @@ def p4_kept(spark, sf_dir):
     entries = latest_delivery(table(spark, sf_dir, "cache_entries").select("entry_id", "url", "content", "stored_at"), "entry_id", "stored_at")
     bad = residue.residue(entries).withColumnRenamed("id", "entry_id").distinct()
     return entries.join(bad, "entry_id", "left_anti").select("entry_id", "url", cache_text().alias("text"))
+
+
+@LLM.add("p6_found")
+def p6_found(spark, sf_dir):
+    return furniture.furniture(table(spark, sf_dir, "cache_entries")).withColumnRenamed("id", "entry_id")
+
+
+@LLM.add("p6_main")
+def p6_main(spark, sf_dir):
+    entries = latest_delivery(table(spark, sf_dir, "cache_entries").select("entry_id", "url", "content", "stored_at"), "entry_id", "stored_at")
+    found = furniture.furniture(entries)
+    return repeated.without_lines(entries, found, "entry_id", cache_text()).withColumnRenamed("id", "entry_id")
