@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import furniture, packing, repeated, residue, splitting
+from weft.llm import furniture, language, packing, repeated, residue, splitting
 from weft.registry import Registry
 from weft.sources.tables import cache_text, latest_delivery, table
 
@@ -99,3 +99,13 @@ def p6_main(spark, sf_dir):
     entries = latest_delivery(table(spark, sf_dir, "cache_entries").select("entry_id", "url", "content", "stored_at"), "entry_id", "stored_at")
     found = furniture.furniture(entries)
     return repeated.without_lines(entries, found, "entry_id", cache_text()).withColumnRenamed("id", "entry_id")
+
+
+@LLM.add("p9_found")
+def p9_found(spark, sf_dir):
+    return language.mislabelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).withColumnRenamed("id", "doc_id")
+
+
+@LLM.add("p9_languages")
+def p9_languages(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).withColumnRenamed("id", "doc_id")
