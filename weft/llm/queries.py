@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import furniture, language, packing, repeated, residue, splitting
+from weft.llm import furniture, language, mixing, packing, repeated, residue, splitting
 from weft.registry import Registry
 from weft.sources.tables import cache_text, latest_delivery, table
 
@@ -109,3 +109,25 @@ def p9_found(spark, sf_dir):
 @LLM.add("p9_languages")
 def p9_languages(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).withColumnRenamed("id", "doc_id")
+
+
+@LLM.add(
+    "p8_found",
+    """WITH d AS (SELECT lower(trim(source)) AS src, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
+    total AS (SELECT sum(n) AS n FROM d),
+    own AS (SELECT src, sum(n) AS n FROM d GROUP BY src)
+    SELECT DISTINCT m.source FROM mix_targets m LEFT JOIN own ON own.src = lower(trim(m.source)), total
+    WHERE m.max_repeats * coalesce(own.n, 0) < m.target_share * total.n""",
+)
+def p8_found(spark, sf_dir):
+    return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@LLM.add("p8_report")
+def p8_report(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@LLM.add("p8_mix")
+def p8_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
