@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import furniture, language, mixing, packing, repeated, residue, splitting
+from weft.llm import furniture, language, mixing, neardup, packing, repeated, residue, splitting
 from weft.registry import Registry
 from weft.sources.tables import cache_text, latest_delivery, table
 
@@ -131,3 +131,22 @@ def p8_report(spark, sf_dir):
 @LLM.add("p8_mix")
 def p8_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def _near(spark, sf_dir):
+    return neardup.similar(
+        [
+            (table(spark, sf_dir, "cache_entries"), "entry_id", "content", "cache_entries", 120, True),
+            (table(spark, sf_dir, "search_hits"), "hit_id", "snippet", "search_hits", 12, False),
+        ]
+    )
+
+
+@LLM.add("p3_found")
+def p3_found(spark, sf_dir):
+    return neardup.all_pairs(*_near(spark, sf_dir))
+
+
+@LLM.add("p3_classes")
+def p3_classes(spark, sf_dir):
+    return neardup.classes(*_near(spark, sf_dir))
