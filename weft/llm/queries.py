@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import furniture, language, mixing, neardup, packing, repeated, residue, splitting
+from weft.llm import furniture, language, mixing, neardup, packing, repeated, residue, scans, splitting
 from weft.registry import Registry
 from weft.sources.tables import cache_text, latest_delivery, table
 
@@ -150,3 +150,13 @@ def p3_found(spark, sf_dir):
 @LLM.add("p3_classes")
 def p3_classes(spark, sf_dir):
     return neardup.classes(*_near(spark, sf_dir))
+
+
+@LLM.add("p2_found")
+def p2_found(spark, sf_dir):
+    return scans.scan_noise(table(spark, sf_dir, "pdf_results")).withColumnRenamed("id", "pdf_id")
+
+
+@LLM.add("p2_paragraphs")
+def p2_paragraphs(spark, sf_dir):
+    return scans.paragraphs(table(spark, sf_dir, "pdf_results")).withColumnRenamed("id", "pdf_id")
