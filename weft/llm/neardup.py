@@ -31,6 +31,8 @@ MASKS, SHOWN, BITS = 24, 3, 192
 NODE_LIMIT = 4096
 #: Neighbours in Gray order that form a lower node.
 LEAF = 64
+#: Texts with candidates up to which their names are broadcast (16 bytes each) to pick their sets; more are joined by shuffle.
+BROADCAST_NAMES = 1_000_000
 
 _U = np.uint64
 _WORD = re.compile(r"[^\W_]+")
@@ -369,6 +371,8 @@ def similar(
         pairs = pairs.unionByName(_hot_pairs(hot, radius(similarity), node_limit))
     pairs = stage(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    if needed.count() <= BROADCAST_NAMES:
+        needed = F.broadcast(needed)
     sets = docs.filter("set is not null").select("doc", "set").join(needed, "doc", "left_semi").dropDuplicates(["doc"])
     sets = stage(sets, "needed")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
@@ -379,10 +383,16 @@ def similar(
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b: links between ids, and the pairs of equal texts."""
     m = stage(members, "members")
-    x, y = m.select(F.col("tbl"), F.col("id").alias("i"), F.col("doc").alias("a")), m.select(F.col("id").alias("j"), F.col("doc").alias("b"))
-    linked = links.select("a", "b").join(x, "a").join(y, "b").select("tbl", "i", "j")
+    x, y = m.alias("x"), m.alias("y")
+    linked = (
+        links.select("a", "b")
+        .join(x, F.col("a") == F.col("x.doc"))
+        .join(y, F.col("b") == F.col("y.doc"))
+        .filter(F.col("x.tbl") == F.col("y.tbl"))
+        .select(F.col("x.tbl").alias("tbl"), F.col("x.id").alias("i"), F.col("y.id").alias("j"))
+    )
     several = m.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc")
-    copies = m.join(several, "doc", "left_semi")
+    copies = stage(m.join(several, "doc", "left_semi"), "copies")
     equal = copies.select("doc", "tbl", F.col("id").alias("i")).join(copies.select("doc", F.col("id").alias("j")), "doc").filter("i < j").select("tbl", "i", "j")
     return linked.unionByName(equal).select("tbl", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).filter("id_a < id_b").distinct()
 
