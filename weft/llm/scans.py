@@ -143,7 +143,11 @@ class Lexicon:
     def is_template(self, text: str) -> bool:
         if not self.templates:
             return False
-        if self.mask(text) in self.templates:
+        key = self.mask(text)
+        if key in self.templates:
+            return True
+        words = key.split()  # a name may be frequent itself
+        if any(" ".join([*words[:i], "@", *words[i + 1 :]]) in self.templates for i in range(len(words))):
             return True
         if self._shapes is None:
             shapes = []
@@ -238,7 +242,7 @@ def furniture_lines(pages: list[list[str]], title: str | None, lexicon: Lexicon)
                 if not rest:
                     if not fits:
                         break
-                elif not (_running(rest) and (_again(rest, p, seen) or lexicon.is_template(rest) or (marked and s == 0 and names and _alike(skeleton(rest), names)))):
+                elif not (_running(rest) and (_again(rest, p, seen) or lexicon.is_template(rest) or (marked and s == 0 and ((names and _alike(skeleton(rest), names)) or (k == 0 and rest.isupper() and " " in rest))))):
                     if not (fits and n[1] and _running(rest) and k == 0):
                         break
                 gone.add(i)
