@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weft.functions.urls import Parts, in_domains
+from weft.functions.urls import in_domains, let, with_parts
 
 # Domains by kind of source, in order of priority.
 SOURCE_TYPES = [
@@ -55,22 +55,31 @@ def any_of(text: Column, marks) -> Column:
 
 def source_type(url: Column | str) -> Column:
     """Kind of source by domain, then by path words; 'other' without a host."""
-    p = Parts(url)
-    h, path = F.regexp_replace(p.host, r"^www\.", ""), F.lower(p.path)
-    out = F.when(~p.good, "other")
-    for name, domains in SOURCE_TYPES:
-        out = out.when(in_domains(h, domains), name)
-    return (
-        out.when(any_of(path, ("/docs/", "/documentation/", "/api/")), "docs")
-        .when(any_of(path, ("/blog/", "/post/", "/article/")), "blog")
-        .when(any_of(path, ("/forum/", "/thread/", "/discussion/")), "forum")
-        .otherwise("other")
-    )
+    def kind(p) -> Column:
+        def of(h: Column) -> Column:
+            path = F.lower(p.path)
+            out = F.when(~p.good, "other")
+            for name, domains in SOURCE_TYPES:
+                out = out.when(in_domains(h, domains), name)
+            return (
+                out.when(any_of(path, ("/docs/", "/documentation/", "/api/")), "docs")
+                .when(any_of(path, ("/blog/", "/post/", "/article/")), "blog")
+                .when(any_of(path, ("/forum/", "/thread/", "/discussion/")), "forum")
+                .otherwise("other")
+            )
+
+        return let(F.regexp_replace(p.host, r"^www\.", ""), of)
+
+    return with_parts(url, kind)
 
 
 def source_authority(url: Column | str) -> dict[str, Column]:
     """{'source': kind of host, 'official': whether it is surely the subject's own}."""
-    p = Parts(url)
+    both = with_parts(url, _authority)
+    return {"source": both["source"], "official": both["official"]}
+
+
+def _authority(p) -> Column:
     h = p.host
     gov = h.endswith(".gov") | (h == "gov") | h.contains(".gov.")
     edu = h.endswith(".edu") | h.rlike(r"\.ac\.[a-z]{2}$")
@@ -84,7 +93,7 @@ def source_authority(url: Column | str) -> dict[str, Column]:
         .when(h.startswith("shop.") | h.startswith("store.") | h.isin("amazon.com", "ebay.com") | h.endswith(".shop"), "ecommerce")
         .when(in_domains(h, NEWS_HOSTS), "news").otherwise("unknown")
     )
-    return {"source": source, "official": p.good & (gov | edu | code)}
+    return F.struct(source.alias("source"), (p.good & (gov | edu | code)).alias("official"))
 
 
 def relevance(title: Column, text: Column, terms: list[str], k1: float = 1.2, b: float = 0.75, avgdl: float = 1000.0) -> Column:
@@ -124,9 +133,11 @@ def expanded(query: Column, kind: Column) -> Column:
 
 
 def domain_boost(url: Column | str, technical: Column) -> Column:
-    p = Parts(url)
-    h = F.regexp_replace(p.host, r"^www\.", "")
-    return F.when(p.good & technical & in_domains(h, TECH_DOMAINS), 0.15).when(p.good & in_domains(h, REFERENCE_DOMAINS), 0.05).otherwise(0.0)
+    def boost(p) -> Column:
+        h = F.regexp_replace(p.host, r"^www\.", "")
+        return F.when(p.good & technical & in_domains(h, TECH_DOMAINS), 0.15).when(p.good & in_domains(h, REFERENCE_DOMAINS), 0.05).otherwise(0.0)
+
+    return with_parts(url, boost)
 
 
 def answer_signal(query: Column, snippet: Column, technical: Column) -> Column:
@@ -150,5 +161,5 @@ def query_terms(query: Column) -> Column:
 
 def share_of_terms(terms: Column, text: Column, most: float) -> Column:
     """Share of the terms that occur in a text, times ``most``."""
-    n, hits = F.size(terms), F.size(F.filter(terms, lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), t)))
-    return F.when(n > 0, hits / n * F.lit(most)).otherwise(F.lit(0.0))
+    hits = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))))
+    return F.when(F.size(terms) > 0, hits / F.size(terms) * F.lit(most)).otherwise(F.lit(0.0))

@@ -37,6 +37,11 @@ def _c(url: Column | str) -> Column:
     return F.col(url) if isinstance(url, str) else url
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 class Parts:
     """The pieces of a url column; shared by the functions below."""
 
@@ -56,16 +61,30 @@ class Parts:
         )
 
 
+class _Bound:
+    def __init__(self, row: Column) -> None:
+        self.scheme, self.host, self.port, self.path, self.query, self.good = (row[k] for k in ("scheme", "host", "port", "path", "query", "good"))
+
+
+def with_parts(url: Column | str, fn) -> Column:
+    """``fn(parts)`` with a url's pieces computed once."""
+    p = Parts(url)
+    row = F.struct(*[getattr(p, k).alias(k) for k in ("scheme", "host", "port", "path", "query", "good")])
+    return let(row, lambda r: fn(_Bound(r)))
+
+
 def host(url: Column | str, strip_www: bool = False) -> Column:
     """Lower-case host of a good url, '' of others."""
-    p = Parts(url)
-    h = F.when(p.good, p.host).otherwise(F.lit(""))
+    h = with_parts(url, lambda p: F.when(p.good, p.host).otherwise(F.lit("")))
     return F.regexp_replace(h, r"^www\.", "") if strip_www else h
 
 
 def dedupe_key(url: Column | str, tracking: tuple[str, ...] = (), root_path: str = "", trailing_slash: bool = True) -> Column:
     """Identity of a page: default port, fragment, tracking parameters and trailing slashes left out; order kept."""
-    p = Parts(url)
+    return with_parts(url, lambda p: _dedupe(p, tracking, root_path, trailing_slash))
+
+
+def _dedupe(p, tracking: tuple[str, ...], root_path: str, trailing_slash: bool) -> Column:
     port = F.when((p.port != "") & ~(((p.scheme == "http") & (p.port.try_cast("int") == 80)) | ((p.scheme == "https") & (p.port.try_cast("int") == 443))), F.concat(F.lit(":"), p.port.try_cast("int").cast("string"))).otherwise(F.lit(""))
     path = F.when(p.path == "", F.lit(root_path)).otherwise(p.path)
     if trailing_slash:
@@ -77,7 +96,8 @@ def dedupe_key(url: Column | str, tracking: tuple[str, ...] = (), root_path: str
         return keep & ~name.isin(*tracking) if tracking else keep
 
     query = F.array_join(F.filter(F.split(p.query, "&"), kept), "&")
-    return F.when(p.good, F.concat(p.scheme, F.lit("://"), p.host, port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))).otherwise(F.lit(""))
+    tail = let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    return F.when(p.good, F.concat(p.scheme, F.lit("://"), p.host, port, path, tail)).otherwise(F.lit(""))
 
 
 def crawl_key(url: Column | str) -> Column:
@@ -87,11 +107,14 @@ def crawl_key(url: Column | str) -> Column:
 
 def search_key(url: Column | str) -> Column:
     """Identity for merging search hits; owner and name of a code repository don't depend on case."""
-    key = dedupe_key(url, SEARCH_TRACKING)
-    repo = r"^(https?://(?:www\.)?github\.com(?::[0-9]+)?)(/+[^/?]+/+[^/?]+)(.*)$"
-    owner = F.lower(F.regexp_extract(key, r"^https?://(?:www\.)?github\.com(?::[0-9]+)?/+([^/?]+)/+[^/?]+", 1))
-    folded = F.concat(F.regexp_extract(key, repo, 1), F.lower(F.regexp_extract(key, repo, 2)), F.regexp_extract(key, repo, 3))
-    return F.when((owner != "") & ~owner.isin(*NO_OWNERS), folded).otherwise(key)
+    repo = r"^(https?://(?:www\.)?github\.com(?::[0-9]+)?)(/+([^/?]+)/+[^/?]+)(.*)$"
+
+    def fold(key: Column) -> Column:
+        owner = F.lower(F.regexp_extract(key, repo, 3))
+        folded = F.concat(F.regexp_extract(key, repo, 1), F.lower(F.regexp_extract(key, repo, 2)), F.regexp_extract(key, repo, 4))
+        return F.when(key.contains("github.com") & (owner != "") & ~owner.isin(*NO_OWNERS), folded).otherwise(key)
+
+    return let(dedupe_key(url, SEARCH_TRACKING), fold)
 
 
 def in_domains(h: Column, domains) -> Column:
@@ -101,8 +124,7 @@ def in_domains(h: Column, domains) -> Column:
 
 def host_suffixes(h: Column) -> Column:
     """All dot suffixes of a host: what a join with a long domain list explodes."""
-    labels = F.split(h, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return let(F.split(h, r"\."), lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 def same_domain(left: Column | str, right: Column | str, subdomains: bool = False) -> Column:
@@ -152,10 +174,13 @@ def type_score(url: Column | str, weights: dict[str, float]) -> Column:
 
 def freshness_score(url: Column | str, current_year: int = 2024) -> Column:
     """By the latest year in the url that isn't in the future; 0.5 without one."""
-    years = F.transform(F.regexp_extract_all(F.coalesce(_c(url), F.lit("")), F.lit(r"[/\-_]((?:19|20)\d{2})(?:[/\-_]\d{2}(?:[/\-_]\d{2})?)?"), F.lit(1)), lambda y: y.cast("int"))
-    age = F.lit(current_year) - F.array_max(F.filter(years, lambda y: y <= current_year))
+    found = F.transform(F.regexp_extract_all(F.coalesce(_c(url), F.lit("")), F.lit(r"[/\-_]((?:19|20)\d{2})(?:[/\-_]\d{2}(?:[/\-_]\d{2})?)?"), F.lit(1)), lambda y: y.cast("int"))
     table = F.array(*[F.lit(x) for x in AGE_SCORES])
-    return F.when(age.isNull(), F.lit(0.5)).when(age < len(AGE_SCORES), F.element_at(table, (age + 1).cast("int"))).otherwise(F.greatest(F.lit(0.1), F.lit(1.0) - age * F.lit(0.1)))
+
+    def score(age: Column) -> Column:
+        return F.when(age.isNull(), F.lit(0.5)).when(age < len(AGE_SCORES), F.element_at(table, (age + 1).cast("int"))).otherwise(F.greatest(F.lit(0.1), F.lit(1.0) - age * F.lit(0.1)))
+
+    return let(F.lit(current_year) - F.array_max(F.filter(found, lambda y: y <= current_year)), score)
 
 
 def authority_score(url: Column | str, weights: dict[str, float], default: float = 0.5) -> Column:
