@@ -106,14 +106,14 @@ def state_hourly(spark, d):
 _NOW = "(SELECT max(fetched_at) FROM cache_entries)"
 
 
-@CORE.add("cache_fresh", f"SELECT entry_id, key FROM cache_entries WHERE epoch_us(fetched_at) + least(coalesce(ttl, 0), 3600) * 1000000 > epoch_us({_NOW})")
+@CORE.add("cache_fresh", f"SELECT entry_id, key FROM cache_entries WHERE epoch_us(fetched_at) + CAST(least(coalesce(ttl, 0), 3600) AS BIGINT) * 1000000 > epoch_us({_NOW})")
 def cache_fresh(spark, d):
     c = cache(spark, d).select("entry_id", "key", "fetched_at", "ttl")
     now = c.agg(F.max("fetched_at").alias("now"))
     return S.fresh(c.crossJoin(F.broadcast(now)), F.col("now"), ttl=3600).select("entry_id", "key")
 
 
-@CORE.add("cache_stale_window", f"SELECT entry_id, key FROM cache_entries WHERE epoch_us(fetched_at) + 86400 * 1000000 > epoch_us({_NOW})")
+@CORE.add("cache_stale_window", f"SELECT entry_id, key FROM cache_entries WHERE epoch_us(fetched_at) + CAST(86400 AS BIGINT) * 1000000 > epoch_us({_NOW})")
 def cache_stale_window(spark, d):
     c = cache(spark, d).select("entry_id", "key", "fetched_at", "ttl")
     now = c.agg(F.max("fetched_at").alias("now"))
@@ -140,7 +140,7 @@ def cache_cacheable(spark, d):
     return cache(spark, d).filter((F.col("status") > 0) & (F.col("status") < 400)).filter(cache_text().rlike(r"\S")).select("entry_id").distinct()
 
 
-@CORE.add("cache_expired_purge", f"SELECT count(*) AS purged FROM cache_entries WHERE epoch_us(fetched_at) + coalesce(ttl, 0) * 1000000 <= epoch_us({_NOW})")
+@CORE.add("cache_expired_purge", f"SELECT count(*) AS purged FROM cache_entries WHERE epoch_us(fetched_at) + CAST(coalesce(ttl, 0) AS BIGINT) * 1000000 <= epoch_us({_NOW})")
 def cache_expired_purge(spark, d):
     c = cache(spark, d).select("fetched_at", "ttl")
     now = c.agg(F.max("fetched_at").alias("now"))
