@@ -244,6 +244,9 @@ def identify(
     """
     model = fit(samples)
     langs = model.langs
+    kind = df.schema[id_col].dataType.simpleString()
+    if not langs:  # nothing is known about any language
+        return df.sparkSession.createDataFrame([], f"id {kind}, declared string, seg_no int, lang string, confidence double, doc_lang string, doc_confidence double, n_segments int")
     found = stage(evidence(df, model, id_col, text_col, label_col, url_col), "evidence")
     single = found.filter(F.size("lang") == 1).select("declared", "host", "suffix", F.element_at("lang", 1).alias("l"))
     counts = [F.sum((F.col("l") == j).cast("int")).cast("double") for j in range(len(langs))]
@@ -258,7 +261,6 @@ def identify(
     by_host = single.groupBy("host").agg(vector.alias("hv"))
     priors = by_host.withColumn("suffix", F.regexp_extract("host", r"\.([a-z]+)$", 1)).join(by_suffix, "suffix", "left").select("host", "hv", "sv")
     joined = found.join(priors, "host", "left").select("id", "declared", "lang", "scores", "hv", "sv")
-    kind = df.schema[id_col].dataType.simpleString()
     k = len(langs)
 
     def run(batches):

@@ -407,8 +407,10 @@ def learn(docs: DataFrame) -> tuple[Lexicon, int]:
     least = max(LEAST_COUNT, math.ceil(total * LEAST_SHARE))
     counts = {r["word"]: r["n"] for r in words.filter(F.col("n") >= least).collect()}  # at most 1 / LEAST_SHARE words
     vectors: dict[str, np.ndarray] = {}
+    sentences = None
     if counts:
         sentences = docs.select(F.explode("pages").alias("page")).select(F.split(F.lower("page"), r"[^\p{L}\p{N}\-']+").alias("tokens")).filter(F.size("tokens") > 1)
+    if sentences is not None and not sentences.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= least).isEmpty():
         slots = max(1, min(64, docs.sparkSession.sparkContext.defaultParallelism))
         model = Word2Vec(vectorSize=DIMENSIONS, windowSize=WINDOW, minCount=least, maxIter=1, numPartitions=slots, seed=11, inputCol="tokens", outputCol="v").fit(sentences)
         vectors = {r["word"]: _unit(np.array(r["vector"].toArray(), np.float32)) for r in model.getVectors().collect()}

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import batch, decode, map_arrow, pick
 
 LIMIT, OVERLAP = 6000, 200
+#: Pieces beyond the least number that may be added so that no cut stands off a boundary.
+EXTRA = 2
 
 #: Boundaries from strong to weak: a cut may stand at the end of a match.
 BOUNDARIES = (
@@ -40,35 +42,48 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     if n <= limit:
         return []
     fresh = limit - overlap
-    pieces = -(-(n - overlap) // fresh)
-    while True:
-        length = (n + (pieces - 1) * overlap) / pieces
-        reach = max(1, min(limit // 6, int(length / 3)))
-        found: list[int] = []
-        for i in range(1, pieces):
-            last = found[-1] if found else 0
-            begin = last - overlap if found else 0
-            target = round(length + (i - 1) * (length - overlap))
-            # what is behind the cut must still fit into the pieces that are left
-            low = max(last + 1, begin + overlap + 1, n - (pieces - i) * fresh)
-            high = min(begin + limit, n - 1)
-            if low > high:
-                break
-            found.append(_snap(text, min(max(target, low), high), low, high, reach))
-        if len(found) == pieces - 1 and n - (found[-1] - overlap) <= limit:
-            return found
+    least = -(-(n - overlap) // fresh)
+    best: tuple[int, list[int]] | None = None
+    pieces = least
+    while best is None or (best[0] and pieces <= least + EXTRA):
+        found, forced = _place(text, pieces, limit, overlap)
+        if found is not None and (best is None or forced < best[0]):
+            best = forced, found
         pieces += 1
-
-
-def _snap(text: str, target: int, low: int, high: int, reach: int) -> int:
+    return best[1]
+
+
+def _place(text: str, pieces: int, limit: int, overlap: int) -> tuple[list[int] | None, int]:
+    """(cuts for this number of pieces or None, how many of them stand at no boundary)."""
+    n, fresh = len(text), limit - overlap
+    length = (n + (pieces - 1) * overlap) / pieces
+    reach = max(1, min(limit // 6, int(length / 3)))
+    found: list[int] = []
+    forced = 0
+    for i in range(1, pieces):
+        last = found[-1] if found else 0
+        begin = last - overlap if found else 0
+        target = round(length + (i - 1) * (length - overlap))
+        # what is behind the cut must still fit into the pieces that are left
+        low = max(last + 1, begin + overlap + 1, n - (pieces - i) * fresh)
+        high = min(begin + limit, n - 1)
+        if low > high:
+            return None, 0
+        at, natural = _snap(text, min(max(target, low), high), low, high, reach)
+        found.append(at)
+        forced += not natural
+    return (found, forced) if n - (found[-1] - overlap) <= limit else (None, 0)
+
+
+def _snap(text: str, target: int, low: int, high: int, reach: int) -> tuple[int, bool]:
     a, b = max(low, target - reach), min(high, target + reach)
     for boundary in BOUNDARIES:
         near = [m.end() for m in boundary.finditer(text, max(0, a - 40), b) if a <= m.end() <= b]
         if near:
-            return min(near, key=lambda p: (abs(p - target), p))
-    while target > low and (unicodedata.combining(text[target]) or text[target] == "‍"):
+            return min(near, key=lambda p: (abs(p - target), p)), True
+    while target > low and (unicodedata.combining(text[target]) or text[target] == "\u200d"):
         target -= 1
-    return target
+    return target, False
 
 
 def longest_run(text: str) -> int:
