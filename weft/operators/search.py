@@ -82,10 +82,11 @@ def ranked(hits: DataFrame, queries: DataFrame, per_domain: int = 2) -> DataFram
     """
     scored = stage(boosted(merged(hits), queries), "scored")
     order = [F.desc("score"), F.desc("consensus"), F.asc("position"), F.asc("arrival"), F.asc("key")]
-    placed = spread_rank(scored, ["query_id"], order, "place").withColumn("domain", U.host("url", True))
+    narrow = scored.select("query_id", "key", "score", "consensus", "position", "arrival", "domain_boost", "answer", "total", U.host("url", True).alias("domain"))
+    placed = spread_rank(narrow, ["query_id"], order, "place")
     counted = spread_rank(placed, ["query_id", "domain"], [F.asc("place")], "nth").withColumn("later", (F.col("nth") > per_domain).cast("int"))
-    final = spread_rank(counted, ["query_id"], [F.asc("later"), F.asc("place")], "rank")
-    return final.withColumn("tier", tier()).withColumn("source_type", C.source_type("url"))
+    final = spread_rank(counted, ["query_id"], [F.asc("later"), F.asc("place")], "rank").withColumn("tier", tier())
+    return final.join(scored.select("query_id", "key", "title", "url", "snippet", "sources"), ["query_id", "key"]).withColumn("source_type", C.source_type("url"))
 
 
 def tier() -> Column:

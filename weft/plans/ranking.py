@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.plans.staging import stage
+
 
 def spread_rank(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """``row_number`` within groups, without holding a group in one task.
 
     Rows are range-partitioned by group and order, numbered within each partition, and
     shifted by what earlier partitions hold of their group (one narrow row per
-    partition and group). The order must be total; ties would come in any order.
+    partition and group). The order must be total; ties would come in any order. The
+    numbered rows are staged, as they are read twice; pass narrow rows, and ones that
+    are cheap to read again, since the ranges are found by sampling.
     """
     ranged = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)))
+    local = stage(ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))), "ranks")
     held = local.groupBy("_part", *group).agg(F.max("_local").alias("_held"))
     before = held.withColumn("_before", F.sum("_held").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_held")).drop("_held")
     return local.join(before, ["_part", *group]).withColumn(name, (F.col("_local") + F.col("_before")).cast("int")).drop("_part", "_local", "_before")
