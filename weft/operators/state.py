@@ -11,7 +11,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weft.plans.staging import ensure_package
 
@@ -88,12 +87,19 @@ def health(log: DataFrame) -> DataFrame:
 
 def open_circuits(log: DataFrame, seconds: int = 60) -> DataFrame:
     """(fetch_id, host): fetches made within ``seconds`` after a block of their host that no success has cleared yet."""
-    w = Window.partitionBy("host").orderBy("ts", "fetch_id").rowsBetween(Window.unboundedPreceding, -1)
-    f = fetches(log)
-    blocked = F.last(F.when(F.col("status").isin(*BLOCKED), F.col("ts")), ignorenulls=True).over(w)
-    cleared = F.last(F.when(F.col("status").between(200, 299), F.col("ts")), ignorenulls=True).over(w)
-    g = f.withColumn("b", blocked).withColumn("c", cleared)
-    return g.filter("b is not null and (c is null or c < b)").filter(micros("ts") - micros("b") < seconds * 1_000_000).select("fetch_id", "host")
+
+    def step(state: tuple, row: tuple) -> tuple:
+        _, block, clear = state
+        _, _, us, status = row
+        is_open = block is not None and (clear is None or clear < block) and us - block < seconds * 1_000_000
+        if status in BLOCKED:
+            block = us
+        elif status is not None and 200 <= status < 300:
+            clear = us
+        return is_open, block, clear
+
+    rows = fetches(log).select("fetch_id", "host", micros("ts").alias("us"), "status")
+    return _fold(rows, "host", ["us", "fetch_id"], "fetch_id bigint, host string, value boolean", lambda: (False, None, None), step, pa.bool_()).filter("value").select("fetch_id", "host")
 
 
 def sessions(log: DataFrame, seconds: int = 300) -> DataFrame:
@@ -130,9 +136,13 @@ def evicted(cache: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, key: str, order: list[str], amount: str, limit: int) -> DataFrame:
-    """Rows whose running total per key stays within a budget, with that total."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("spent", F.sum(amount).over(w)).filter(F.col("spent") <= limit)
+    """(id, key, spent) of the rows (id first) whose running total per key stays within a budget; null amounts count as 0."""
+    first = rows.columns[0]
+    kind, name = rows.schema[first].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+    narrow = rows.select(F.col(first).alias("fetch_id"), F.col(key).alias("host"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("amount"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    held = narrow.select("fetch_id", "host", "amount", *[f"o{i}" for i in range(len(order))])
+    spent = _fold(held, "host", [f"o{i}" for i in range(len(order))], f"fetch_id {kind}, host {name}, value bigint", lambda: 0, lambda s, r: s + r[2], pa.int64())
+    return spent.filter(F.col("value") <= limit).select(F.col("fetch_id").alias(first), F.col("host").alias(key), F.col("value").alias("spent"))
 
 
 def to_resume(wanted: DataFrame, done: DataFrame, key: str, retry_failed: bool = False) -> DataFrame:

@@ -54,10 +54,10 @@ def state_health(spark, d):
     "state_open_circuits",
     f"""WITH {_FETCHES}, g AS (SELECT *, last_value(CASE WHEN status IN (429, 403) THEN ts END IGNORE NULLS) OVER w AS b, last_value(CASE WHEN status BETWEEN 200 AND 299 THEN ts END IGNORE NULLS) OVER w AS c
       FROM f WINDOW w AS (PARTITION BY host ORDER BY ts, fetch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT fetch_id, host FROM g WHERE b IS NOT NULL AND (c IS NULL OR c < b) AND epoch_us(ts) - epoch_us(b) < 60000000""",
+    SELECT fetch_id, host FROM g WHERE b IS NOT NULL AND (c IS NULL OR c < b) AND epoch_us(ts) - epoch_us(b) < 21600000000""",
 )
 def state_open_circuits(spark, d):
-    return S.open_circuits(log(spark, d))
+    return S.open_circuits(log(spark, d), 6 * 3600)
 
 
 @CORE.add(
