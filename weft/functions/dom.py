@@ -618,3 +618,103 @@ def render(text: str, page_title: str = "") -> str:
             out.append(f"<p>{link(s)}</p>")
     flush()
     return f"<html><head><title>{esc(page_title)}</title></head><body><article>{''.join(out)}</article></body></html>"
+
+
+def images(root: Node, url: str, most: int = 20) -> list[str]:
+    """Absolute image addresses in document order, each once."""
+    found = [urljoin(url, n.attrs["src"].strip()) for n in root.nodes() if n.tag == "img" and n.attrs.get("src", "").strip() and not n.attrs["src"].startswith("data:")]
+    return list(dict.fromkeys(found))[:most]
+
+
+def link_list(found: list[tuple[str, str, str]], most: int = 200) -> str:
+    """Links as a Markdown list."""
+    return "\n".join(f"- [{text or url}]({url})" for url, text, _ in found[:most])
+
+
+def metrics(root: Node) -> dict[str, int]:
+    """Nodes, characters of text and greatest depth of a tree."""
+    deepest, nodes, chars, todo = 0, 0, 0, [(root, 0)]
+    while todo:
+        n, d = todo.pop()
+        deepest = max(deepest, d)
+        for c in n.children:
+            if isinstance(c, str):
+                chars += len(c)
+            else:
+                nodes += 1
+                todo.append((c, d + 1))
+    return {"nodes": nodes, "text": chars, "depth": deepest}
+
+
+# What marks kinds of pages, and hosts of primary sources.
+_QA = ("stackoverflow", "stackexchange", 'class="question', 'class="answer', "data-answerid", "data-questionid")
+_FORUM = ("phpbb", "discourse", 'class="forum', 'id="forum', 'class="thread', 'class="post-body', 'class="message-body', "data-post-id")
+_DOCS = ("mkdocs", "docusaurus", "readthedocs", "sphinx-document", "algolia-docsearch", "md-nav", "theme-doc", 'class="rst-content', "wy-nav-side")
+_PAYWALL = ("subscribe to continue", "subscribe to read", "this article is for subscribers", "create a free account to continue", "sign in to continue reading", "you've reached your free article limit", "subscriber-only content", "premium content")
+_GATES = ("data-paywall", "data-content-gate", "data-subscription-wall")
+_OFF = frozenset(("0", "false", "no", "off", "disabled", "none", "null"))
+PRIMARY_HOSTS = ("arxiv.org", "doi.org", "github.com", "gitlab.com", "pubmed.ncbi.nlm.nih.gov", "openreview.net")
+
+
+def page_type(html: str, url: str, media: str = "", text_len: int = 0) -> str:
+    """Kind of page: pdf, json or image by media, else redirect, paywall, qa, forum, docs, list, article or unknown."""
+    if media in ("pdf", "json", "image"):
+        return media
+    if not (html or "").strip():
+        return "unknown"
+    low, root = html.lower(), parse(html)
+    refresh = any(n.tag == "meta" and n.attrs.get("http-equiv", "").lower() == "refresh" and "url=" in n.attrs.get("content", "").lower() for n in root.nodes())
+    if refresh or (text_len < 500 and re.search(r"location\.href\s*=|location\.replace|window\.location\s*=", low)):
+        return "redirect"
+    visible = root.text().lower()
+    gated = any(k in n.attrs and n.attrs[k].strip().lower() not in _OFF for n in root.nodes() if n.tag not in ("base", "link", "meta") for k in _GATES)
+    if gated or any(m in visible for m in _PAYWALL):
+        return "paywall"
+    for name, marks in (("qa", _QA), ("forum", _FORUM), ("docs", _DOCS)):
+        if any(m in low for m in marks):
+            return name
+    article = any(n.tag == "article" for n in root.nodes())
+    if not article:
+        own = sum(kind == "citation" for _, _, kind in links(root, url))
+        if own >= 20 and (text_len < 1500 or text_len / own < 200):
+            return "list"
+    return "article" if article else "unknown"
+
+
+def primary_source(meta: dict[str, str], found: list[tuple[str, str, str]], url: str) -> str:
+    """A canonical address on another host, else the first outside link to a primary host, else ''."""
+    other = meta.get("canonical", "")
+    if _host(other) and _host(other) != _host(url):
+        return other
+    return next((u for u, _, kind in found if kind == "external" and any(_host(u) == h or _host(u).endswith("." + h) for h in PRIMARY_HOSTS)), "")
+
+
+def _likeness(a: Node, b: Node, text: bool) -> float:
+    path = lambda n: [n.tag, *[x.tag for x in list(n.ancestors())[:2]]]
+    signs = [float(len(list(a.ancestors())) == len(list(b.ancestors()))), float(path(a) == path(b))]
+    keys = set(b.attrs)
+    signs.append(len(keys & set(a.attrs)) / len(keys | set(a.attrs)) if keys else 0.0)
+    if keys:
+        signs.append(sum(a.attrs.get(k) == v for k, v in b.attrs.items()) / len(keys))
+    if text:
+        import difflib
+
+        signs.append(difflib.SequenceMatcher(None, b.text(), a.text()).ratio())
+    return round(sum(signs) / len(signs), 2)
+
+
+def similar(root: Node, prototype: Node, threshold: float = 0.2, text: bool = False) -> list[Node]:
+    """Elements of the prototype's kind that resemble it by depth, path, attributes and, if asked, text."""
+    return [n for n in root.nodes() if n is not prototype and n.tag == prototype.tag and _likeness(n, prototype, text) >= threshold]
+
+
+def relocate(root: Node, tag: str, text: str, attrs: dict[str, str], least: float = 0.6) -> Node | None:
+    """The element that most likely is the one once seen with this tag, text and these attributes."""
+    import difflib
+
+    best, score = None, least
+    for n in root.nodes():
+        s = difflib.SequenceMatcher(None, n.text()[:2000], text[:2000]).ratio() + 0.1 * (n.tag == tag) + 0.05 * sum(n.attrs.get(k) == v for k, v in attrs.items())
+        if s > score:
+            best, score = n, s
+    return best

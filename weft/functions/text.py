@@ -12,7 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from weft.functions.urls import let
 
@@ -355,3 +355,68 @@ def _block_info(block: Column, words: Column, qs: list[str]) -> Column:
     f = F.array(*[F.size(words) - F.size(F.array_remove(words, q)) for q in qs])
     met = F.arrays_overlap(words, F.array(*[F.lit(q) for q in qs]))
     return F.struct(block.alias("block"), F.size(words).alias("n"), f.alias("f"), F.coalesce(met, F.lit(False)).alias("met"), *[v.alias(n) for n, v in k.items()])
+
+
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Batch function: matching-blocks similarity of two texts, 1 for two empty ones."""
+    import difflib
+
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+
+
+def cite(markdown: str, base: str = "") -> tuple[str, str]:
+    """(text with numbered marks for links, references block); equal targets share a number, images keep their mark."""
+    from urllib.parse import urljoin
+
+    numbers: dict[str, int] = {}
+    lines: list[str] = []
+
+    def mark(m: re.Match) -> str:
+        target = m[3] if m[3].startswith(("http://", "https://", "mailto:")) or not base else urljoin(base, m[3])
+        if target not in numbers:
+            numbers[target] = len(numbers) + 1
+            about = " - ".join(x for x in dict.fromkeys((m[4], m[2])) if x)
+            lines.append(f"⟨{numbers[target]}⟩ {target}{': ' + about if about else ''}\n")
+        label = f"{m[2]}⟨{numbers[target]}⟩"
+        return f"![{label}]" if m[1] else label
+
+    text = re.sub(r"(!?)\[([^\]\n]*)\]\(\s*([^)\s]+)(?:\s+\"([^\"]*)\")?\s*\)", mark, markdown)
+    return text, "\n\n## References\n\n" + "".join(lines) if lines else ""
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def cited(markdown: pd.Series, base: pd.Series) -> pd.Series:
+    """Batch function of ``cite``: [text, references]."""
+    return pd.Series([list(cite(m or "", b or "")) for m, b in zip(markdown, base)])
+
+
+def toc_ends(toc: Column, pages: Column) -> Column:
+    """Last page of each entry of a contents list of (level, page): before the next entry of its level or above."""
+
+    def last(x: Column, i: Column) -> Column:
+        later = F.filter(F.slice(toc, i + 2, F.size(toc)), lambda y: (y["level"] <= x["level"]) & y["page"].isNotNull())
+        end = F.when(F.size(later) > 0, F.greatest(x["page"], F.try_element_at(later, F.lit(1))["page"] - 1)).otherwise(pages)
+        return F.when(x["page"].isNotNull(), end)
+
+    return F.transform(toc, last)
+
+
+def retry_after(value: Column | str, now: Column) -> Column:
+    """Seconds to wait of a Retry-After value, as seconds or as a date; null where it can't be read."""
+    v = F.trim(text_of(value))
+    at = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(v, r"^[A-Za-z]{3}, ", ""), r" GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.unix_timestamp(at) - F.unix_timestamp(now.cast("timestamp"))
+    return F.greatest(F.coalesce(v.try_cast("double"), wait.cast("double")), F.lit(0.0))
+
+
+def fetch_summary(status: Column, size: Column, kind: Column, error: Column, page_kind: Column, content_ok: Column) -> dict[str, Column]:
+    """One-line summary of a fetch and what to do next."""
+    head = F.when(F.coalesce(status, F.lit(0)) == 0, "network error").otherwise(F.concat(status.cast("string"), F.when(status < 400, " OK").otherwise(" ERR")))
+    e = F.coalesce(error, F.lit(""))
+    action = (
+        F.when(e == "selector_empty", "retry without selector").when(e.startswith("robots"), "use another permitted source")
+        .when(e.startswith("js_shell_detected"), "needs a browser").when(e.startswith("bot_challenge_detected"), "blocked by a challenge").when(e.startswith("geo_redirect_detected"), "try another region")
+        .when((F.coalesce(status, F.lit(0)) == 0) | (status >= 400), "fetch failed").when(content_ok & (page_kind == "list"), "follow its links").when(content_ok & page_kind.isin("auth_wall", "paywall"), "use an archive or another source").otherwise("")
+    )
+    return {"summary": F.concat_ws(" · ", head, F.concat_ws(" ", human_size(size), kind)), "next_action": action}

@@ -149,3 +149,23 @@ def to_resume(wanted: DataFrame, done: DataFrame, key: str, retry_failed: bool =
     """What a resumed batch still has to do: wanted rows without record, and failed ones if asked."""
     finished = done.filter("ok") if retry_failed else done
     return wanted.join(finished.select(key).distinct(), key, "left_anti")
+
+
+def key_turns(requests: DataFrame, keys: int, rest: float = 60.0, long_rest: float = 300.0) -> DataFrame:
+    """(fetch_id, host, key_no): round robin over a host's keys; a limited key rests, a refused one longer; -1 if all rest.
+
+    Requests are (fetch_id, host, us, status), the status being what the request then met.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple:
+        _, turn, until = state
+        at = row[2] / 1e6
+        free = next((k % keys for k in range(turn, turn + keys) if until[k % keys] <= at), -1)
+        if free < 0:
+            return -1, turn, until
+        pause = rest if row[3] == 429 else long_rest if row[3] in (401, 403) else 0.0
+        held = tuple(at + pause if k == free and pause else u for k, u in enumerate(until))
+        return free, free + 1, held
+
+    rows = requests.select("fetch_id", "host", "us", "status")
+    return _fold(rows, "host", ["us", "fetch_id"], "fetch_id bigint, host string, value int", lambda: (-1, 0, (0.0,) * keys), step, pa.int32()).withColumnRenamed("value", "key_no")

@@ -120,3 +120,25 @@ def crawl_reachable(spark, d):
     e = pages.select(F.regexp_replace(F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]*)", 1), r"^www\.", "").alias("src"), F.explode(targets).alias("t"))
     edges = e.select("src", F.regexp_extract("t", r"^/([a-zA-Z0-9]+)", 1).alias("dst")).filter("src <> '' and dst <> ''").distinct()
     return W.reachable(edges, edges.select(F.col("src").alias("node")).distinct(), 3)
+
+
+@CORE.add("pages_types")
+def pages_types(spark, d):
+    return _each(_pages(spark, d), "page_type string", lambda url, text: [(D.page_type(D.render(text), url, "", len(text)),)])
+
+
+@CORE.add("pages_citations")
+def pages_citations(spark, d):
+    from weft.functions import text as T
+
+    c = T.cited("text", "url")
+    return _pages(spark, d).select("entry_id", c.alias("c")).select("entry_id", F.col("c")[0].alias("text"), F.col("c")[1].alias("refs"))
+
+
+@CORE.add("pages_metrics")
+def pages_metrics(spark, d):
+    def rows(url, text):
+        m = D.metrics(D.parse(D.render(text)))
+        return [(m["nodes"], m["text"], m["depth"])]
+
+    return _each(_pages(spark, d), "nodes int, chars int, depth int", rows)

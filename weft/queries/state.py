@@ -166,3 +166,24 @@ def batch_resume(spark, d):
 def jsonl_export(spark, d):
     h = table(spark, d, "search_hits").filter(F.col("title").isNull() | F.col("title").rlike(r"^[A-Za-z0-9 :,.\-]*$"))
     return h.select(F.to_json(F.struct("hit_id", "title", "position"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+@CORE.add("state_key_turns")
+def state_key_turns(spark, d):
+    f = S.fetches(log(spark, d)).select("fetch_id", "host", S.micros("ts").alias("us"), "status")
+    return S.key_turns(f, 3)
+
+
+@CORE.add("cache_envelope_redacted")
+def cache_envelope_redacted(spark, d):
+    from weft.functions import safety
+
+    return cache(spark, d).select("entry_id", safety.redact_json("envelope").alias("envelope"))
+
+
+@CORE.add("cache_summary", """SELECT entry_id, CASE WHEN coalesce(status, 0) = 0 THEN 'network error' ELSE status || CASE WHEN status < 400 THEN ' OK' ELSE ' ERR' END END AS head, CASE WHEN coalesce(status, 0) = 0 OR status >= 400 THEN 'fetch failed' ELSE '' END AS next_action FROM cache_entries""")
+def cache_summary(spark, d):
+    from weft.functions import text as T
+
+    s = T.fetch_summary(F.col("status"), F.col("total_size_bytes"), F.col("extraction_type"), F.lit(""), F.lit("article"), F.lit(True))
+    return cache(spark, d).select("entry_id", F.substring_index(s["summary"], " · ", 1).alias("head"), s["next_action"].alias("next_action"))

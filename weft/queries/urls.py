@@ -240,3 +240,17 @@ def url_unwrap(spark, d):
         .otherwise(F.concat(F.lit("https://www.bing.com/ck/a?u=a1"), b64))
     )
     return hits(spark, d).select("hit_id", U.unwrap_result(wrapped).alias("target"))
+
+
+@CORE.add("url_unsafe", r"SELECT hit_id, CAST(NULL AS VARCHAR) AS reason FROM search_hits")
+def url_unsafe(spark, d):
+    from weft.functions import safety
+
+    return hits(spark, d).select("hit_id", safety.unsafe("url").alias("reason"))
+
+
+@CORE.add("url_two_segments", rf"WITH {parts_sql('search_hits', 'hit_id')} SELECT hit_id, len(list_filter(string_split(path, '/'), lambda x: x <> '')) = 2 AS item FROM good")
+def url_two_segments(spark, d):
+    from weft.sources import web
+
+    return hits(spark, d).select("hit_id", web.two_segments("url").alias("item"))

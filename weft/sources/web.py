@@ -198,3 +198,41 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("sitemap_urls", udtf(Sitemap, returnType="url string, lastmod string, kind string, recovered boolean"))
     spark.udtf.register("feed_entries", udtf(Feed, returnType="id string, title string, link string, author string, published string"))
     spark.udtf.register("comments", udtf(Comments, returnType="ord int, depth int, id string, author string, body string"))
+
+
+def two_segments(url: Column | str) -> Column:
+    """Whether a url's path has exactly two segments, as item pages below an owner have."""
+    path = F.regexp_extract(F.col(url) if isinstance(url, str) else url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    return F.size(F.filter(F.split(path, "/"), lambda x: x != "")) == 2
+
+
+def discovered_sitemaps(documents: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """(url, lastmod) of pages below seed sitemaps: stored documents (url, body) are opened level by level."""
+    from weft.plans.staging import stage
+
+    register(documents.sparkSession)
+    documents.createOrReplaceTempView("weft_sitemap_documents")
+    rows = documents.sparkSession.sql("SELECT d.url AS parent, s.url, s.lastmod, s.kind FROM weft_sitemap_documents d, LATERAL sitemap_urls(CAST(d.body AS STRING)) s")
+    rows = stage(rows, "sitemaps")
+    front, out = seeds.select(F.col("url").alias("parent")).distinct(), None
+    for _ in range(depth):
+        found = stage(rows.join(front, "parent", "left_semi"), "sitemap-level")
+        pages = found.filter("kind = 'page'").select("url", "lastmod")
+        out = pages if out is None else out.unionByName(pages)
+        front = found.filter("kind = 'index'").select(F.col("url").alias("parent")).distinct()
+        if front.isEmpty():
+            break
+    return out.groupBy("url").agg(F.max("lastmod").alias("lastmod"))
+
+
+def discovered(host: str, *sources: DataFrame, contains: str = "") -> DataFrame:
+    """(url, source) of several url relations: one host's, each page once by its first source, with a substring if asked."""
+    from weft.functions import urls as U
+
+    union = None
+    for i, s in enumerate(sources):
+        part = s.select("url", F.lit(i).alias("source"))
+        union = part if union is None else union.unionByName(part)
+    h = U.host("url", True)
+    kept = union.filter(((h == host) | h.endswith("." + host)) & F.contains("url", F.lit(contains)))
+    return kept.groupBy(U.crawl_key("url").alias("url")).agg(F.min("source").alias("source"))
