@@ -70,12 +70,12 @@ def state_sessions(spark, d):
     return S.sessions(log(spark, d))
 
 
-@CORE.add("state_latency", f"""WITH {_FETCHES} SELECT host, count(latency) AS n, round(avg(latency), 6) AS mean, round(min(latency), 6) AS least, round(max(latency), 6) AS most,
+@CORE.add("state_latency", f"""WITH {_FETCHES} SELECT host, count(latency) AS n, CAST(sum(CAST(round(latency * 10000) AS BIGINT)) AS DOUBLE) / (count(latency) * 10000.0::DOUBLE) AS mean, round(min(latency), 6) AS least, round(max(latency), 6) AS most,
       round(quantile_cont(latency, 0.5), 6) AS median, round(quantile_cont(latency, 0.95), 6) AS p95 FROM f WHERE latency >= 0 GROUP BY host""")
 def state_latency(spark, d):
     f = S.fetches(log(spark, d)).filter("latency >= 0")
     r = lambda c: F.round(c, 6)
-    return f.groupBy("host").agg(F.count("latency").alias("n"), r(F.avg("latency")).alias("mean"), r(F.min("latency")).alias("least"), r(F.max("latency")).alias("most"), r(F.percentile("latency", 0.5)).alias("median"), r(F.percentile("latency", 0.95)).alias("p95"))
+    return f.groupBy("host").agg(F.count("latency").alias("n"), (F.sum(F.round(F.col("latency") * 10000).cast("long")).cast("double") / (F.count("latency") * F.lit(10000.0))).alias("mean"), r(F.min("latency")).alias("least"), r(F.max("latency")).alias("most"), r(F.percentile("latency", 0.5)).alias("median"), r(F.percentile("latency", 0.95)).alias("p95"))
 
 
 @CORE.add("state_status_counts", f"WITH {_FETCHES} SELECT host, count(*) AS n, CAST(sum(CASE WHEN status BETWEEN 200 AND 299 THEN 1 ELSE 0 END) AS BIGINT) AS ok, CAST(sum(CASE WHEN status IN (429, 403) THEN 1 ELSE 0 END) AS BIGINT) AS blocked FROM f GROUP BY host")
