@@ -142,7 +142,22 @@ def _near(spark, sf_dir):
     )
 
 
-@LLM.add("p3_found")
+@LLM.add(
+    "p3_found",
+    f"""WITH {_TEXTS},
+    items AS (
+      SELECT 'cache_entries' AS tbl, entry_id AS id, text, 120 AS least FROM texts
+      UNION ALL
+      SELECT 'search_hits', hit_id, any_value(snippet), 12 FROM search_hits GROUP BY hit_id),
+    words AS (SELECT tbl, id, least, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM items WHERE text IS NOT NULL),
+    runs AS (
+      SELECT tbl, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s
+      FROM words WHERE len(w) >= least),
+    each AS (SELECT tbl, id, len(s) AS n, unnest(s) AS run FROM runs)
+    SELECT a.tbl, a.id AS id_a, b.id AS id_b
+    FROM each a JOIN each b ON a.tbl = b.tbl AND a.run = b.run AND a.id < b.id
+    GROUP BY a.tbl, a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))""",
+)
 def p3_found(spark, sf_dir):
     return neardup.all_pairs(*_near(spark, sf_dir))
 
