@@ -26,11 +26,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame once to the shared folder and read it back.
 
     It cuts lineage, lets several branches read one result, and survives the
-    loss of executors because the files are not theirs.
+    loss of executors because the files are not theirs. The files go when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
