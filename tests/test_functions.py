@@ -82,6 +82,10 @@ def test_small_texts(spark):
     assert one(spark, T.parse_date("t"), t="no date") is None
 
 
+def test_clean_value(spark):
+    assert one(spark, T.clean_value("t"), t="a\u200bb\x07c\td\ufeff") == "abc\td"
+
+
 def test_semantic_chunks(spark):
     text = " ".join(f"Sentence number {i} has six words." for i in range(20))
     got = one(spark, T.semantic_chunks(18, 6)("t"), t=text)

@@ -17,7 +17,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _ENDS = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SCOPES = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
-NAV_TAGS = frozenset(("nav", "header", "footer", "aside", "menu"))
+NAV_TAGS = frozenset(("nav", "header", "footer", "aside"))
 MAX_COLUMNS, MAX_NODES = 64, 200_000
 
 
@@ -438,8 +438,8 @@ def _is_noise(n: Node) -> bool:
 
 # Weights of a node's signs, and of tags.
 WEIGHTS = {"density": 0.4, "links": 0.2, "tag": 0.2, "name": 0.1, "length": 0.1}
-_TAG_WEIGHT = {"article": 1.5, "main": 1.4, "section": 1.0, "p": 1.0, "h1": 1.2, "h2": 1.1, "h3": 1.0, "pre": 1.0, "table": 0.9, "ul": 0.7, "ol": 0.7, "li": 0.6, "div": 0.5, "span": 0.3, "aside": 0.2, "nav": 0.1, "footer": 0.1, "header": 0.3}
-_CHROME = re.compile(r"nav|menu|footer|header|sidebar|ads?\b|advert|promo|social|share|cookie|banner|comment|related|breadcrumb|popup|modal", re.I)
+_TAG_WEIGHT = {"article": 1.5, "main": 1.4, "section": 1.3, "h1": 1.2, "h2": 1.1, "h3": 1.0, "p": 1.0, "div": 0.5, "li": 0.5, "span": 0.3}
+_CHROME = re.compile(r"nav|footer|sidebar|comment|advert|cookie|popup|banner", re.I)
 
 
 def prune(root: Node, threshold: float = 0.48) -> Node:
@@ -653,7 +653,7 @@ _DOCS = ("mkdocs", "docusaurus", "readthedocs", "sphinx-document", "algolia-docs
 _PAYWALL = ("subscribe to continue", "subscribe to read", "this article is for subscribers", "create a free account to continue", "sign in to continue reading", "you've reached your free article limit", "subscriber-only content", "premium content")
 _GATES = ("data-paywall", "data-content-gate", "data-subscription-wall")
 _OFF = frozenset(("0", "false", "no", "off", "disabled", "none", "null"))
-PRIMARY_HOSTS = ("arxiv.org", "doi.org", "github.com", "gitlab.com", "pubmed.ncbi.nlm.nih.gov", "openreview.net")
+PRIMARY_HOSTS = ("arxiv.org", "doi.org", "biorxiv.org", "medrxiv.org", "github.com", "gitlab.com", "opencode.dev", "wikipedia.org", "wikimedia.org", "nature.com", "science.org", "sciencedirect.com", "springer.com", "ieee.org", "acm.org", "plos.org")
 
 
 def page_type(html: str, url: str, media: str = "", text_len: int = 0) -> str:

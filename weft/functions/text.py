@@ -177,7 +177,7 @@ def visible_text(html: Column | str) -> Column:
 
 def clean_value(text: Column | str) -> Column:
     """Without zero-width and control characters; tabs, newlines and returns stay."""
-    return F.regexp_replace(text_of(text), "[​-‏⁠﻿\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    return F.regexp_replace(text_of(text), r"[\u200b\u200c\u200d\ufeff\u2060\u180e\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
 
 def clean_query(query: Column | str) -> Column:
@@ -263,7 +263,7 @@ def page_list(spec: Column | str, total: Column) -> Column:
 def captions(text: Column | str) -> Column:
     """Caption text of SRT or VTT: counters, times, notes and tags dropped, each line once."""
     lines = F.transform(F.split(text_of(text), "\n"), lambda l: F.regexp_replace(l, r"^\s+|\s+$", ""))
-    kept = F.filter(lines, lambda l: (l != "") & ~l.rlike(r"^\d+$") & (l != "WEBVTT") & ~l.startswith("NOTE") & ~l.rlike(r"^\d{1,2}:\d{2}(?::\d{2})?[.,]\d{3}\s*-->"))
+    kept = F.filter(lines, lambda l: (l != "") & ~l.rlike(r"^\d+$") & (l != "WEBVTT") & ~l.startswith("NOTE") & ~l.rlike(r"^\d{2,}:\d{2}:\d{2}[,.]\d+.*-->"))
     return F.array_join(F.array_distinct(F.filter(F.transform(kept, lambda l: F.regexp_replace(l, r"<[^>]+>", "")), lambda l: l != "")), "\n")
 
 

@@ -17,7 +17,7 @@ from weft.plans.ranking import spread_rank
 from weft.plans.staging import stage
 
 # Engines that serve one and the same index.
-FAMILIES = {"duckduckgo": "bing", "yahoo": "bing", "qwant": "bing", "startpage": "google"}
+FAMILIES = {"duckduckgo": "bing", "yahoo": "bing", "startpage": "google"}
 MERGED_CHARS = 600
 
 

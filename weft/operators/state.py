@@ -20,7 +20,7 @@ def micros(c: Column | str) -> Column:
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 # Throttle bounds and growth, blocking statuses, health steps.
-MIN_DELAY, MAX_DELAY, BACKOFF = 1.0, 60.0, 2.0
+MIN_DELAY, MAX_DELAY, BACKOFF = 2.0, 30.0, 2.0
 BLOCKED = (429, 403)
 START, MOST, FLOOR, REWARD, LIMITED, FAILED, REST_SECONDS = 100, 150, 40, 1, -20, -10, 300
 

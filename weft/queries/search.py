@@ -155,7 +155,7 @@ def search_minmax(spark, d):
     return h.join(b, "query_id").select("hit_id", F.round(score, 6).alias("score"), F.round(1 / (1 + F.exp(-F.col("s"))), 6).alias("sigmoid"))
 
 
-_CLASS = "CASE WHEN engine IN ('semantic_scholar', 'github_api', 'hackernews') THEN 2 WHEN engine IN ('tavily', 'serper', 'exa') THEN 0 ELSE 1 END"
+_CLASS = "CASE WHEN engine IN ('semantic_scholar', 'github_api', 'hackernews') THEN 2 WHEN engine IN ('tavily', 'serper', 'exa', 'firecrawl') THEN 0 ELSE 1 END"
 
 
 @CORE.add("search_backend_order", f"""WITH once AS (SELECT DISTINCT ON (hit_id) hit_id, query_id, engine, arrival FROM search_hits ORDER BY hit_id)
@@ -164,7 +164,7 @@ def search_backend_order(spark, d):
     from weft.plans.ranking import spread_rank
 
     h = _tables(spark, d)[0].select("hit_id", "query_id", "engine", "arrival").dropDuplicates(["hit_id"])
-    cls = F.when(F.col("engine").isin("semantic_scholar", "github_api", "hackernews"), 2).when(F.col("engine").isin("tavily", "serper", "exa"), 0).otherwise(1)
+    cls = F.when(F.col("engine").isin("semantic_scholar", "github_api", "hackernews"), 2).when(F.col("engine").isin("tavily", "serper", "exa", "firecrawl"), 0).otherwise(1)
     return spread_rank(h.withColumn("cls", cls), ["query_id"], [F.asc("cls"), F.asc("arrival"), F.asc("hit_id")], "place").select("hit_id", "place")
 
 

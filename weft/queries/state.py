@@ -24,9 +24,9 @@ def cache(spark, d):
     "state_throttle",
     f"""WITH RECURSIVE {_FETCHES}, n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, fetch_id) AS k, greatest(coalesce(latency, 0.0), 0.0) AS l FROM f),
     walk AS (
-      SELECT host, 0 AS k, CAST(NULL AS BIGINT) AS fetch_id, 1.0::DOUBLE AS delay FROM (SELECT DISTINCT host FROM n)
+      SELECT host, 0 AS k, CAST(NULL AS BIGINT) AS fetch_id, 2.0::DOUBLE AS delay FROM (SELECT DISTINCT host FROM n)
       UNION ALL
-      SELECT w.host, n.k, n.fetch_id, greatest(1.0::DOUBLE, least(60.0::DOUBLE, CASE WHEN n.status IN (429, 403)
+      SELECT w.host, n.k, n.fetch_id, greatest(2.0::DOUBLE, least(30.0::DOUBLE, CASE WHEN n.status IN (429, 403)
         THEN greatest((w.delay + n.l) / 2, n.l, coalesce(n.retry_after, w.delay * 2), w.delay) ELSE greatest((w.delay + n.l) / 2, n.l) END))
       FROM walk w JOIN n ON n.host = w.host AND n.k = w.k + 1)
     SELECT fetch_id, host, delay FROM walk WHERE k > 0""",
