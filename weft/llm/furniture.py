@@ -8,6 +8,8 @@ pages vary from page to page, so they are cut with the recurring heading they ha
 
 Counting articles instead of pages keeps copies of one article from turning its lines
 into furniture, and pages without an article (errors, checks, filler) don't count.
+Articles are told apart by title and by paragraphs: copies under other titles have the
+paragraphs in common, edited copies the title. The pages that copies fill don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from weft.sources.tables import site_of
 #: Hosts over which a subtree must recur to be furniture of all hosts.
 ALL_HOSTS = 3
 #: Lines that look like a page's own need more. Rows: plain lines, lines that read like titles or list items,
-#: long paragraphs (the last two bits of a hash tell which). Columns: articles within a host, over all hosts, share.
+#: long paragraphs (the last two bits of a hash tell which). Columns: articles within a host, over all hosts, share of
+#: different titles that must have different paragraphs.
 NEEDS = ((4, 5, 0.5), (5, 10, 0.6), (20, 20, 0.7))
 LONG_CHARS = 130
 #: Share of a menu's labels that must be known.
@@ -72,7 +75,7 @@ def _h(s: str, row: int = 0) -> int:
 
 
 def page_tree(text: str, site: str):
-    """(signature of the page's article or None, line hashes, line features, label hashes, label owners)."""
+    """(hash of the article's title or None, hash of its paragraphs or None, line hashes, line features, label hashes, label owners)."""
     names = brands(site)
     keys: list[int] = []
     feats: list[int] = []
@@ -81,6 +84,7 @@ def page_tree(text: str, site: str):
     fenced = False
     first_prose = -1
     bares: list[str] = []
+    prose: list[int] = []
     prose_chars = 0
     for i, raw in enumerate(text.split("\n")):
         bare = _MARK.sub("", raw)
@@ -105,6 +109,7 @@ def page_tree(text: str, site: str):
             feats.append(PROSE)
             if n >= 140 and not is_filler_paragraph(bare):
                 prose_chars += n
+                prose.append(keys[-1])
                 if first_prose < 0:
                     first_prose = i
             continue
@@ -133,24 +138,25 @@ def page_tree(text: str, site: str):
                 if p and p != "0":
                     labels.append(_h(p))
                     owners.append(i)
-    sig = None
+    sig = body = None
     if first_prose >= 0 and prose_chars >= 140:
         # the article is known by its title: the line above the first paragraph, the byline skipped
         at = first_prose - 1
         while at >= 0 and (not bares[at] or feats[at] & _BYLINE):
             at -= 1
         sig = _h(_SPACES.sub(" ", _LINK.sub(r"\1", bares[at]).lower()) if at >= 0 else bares[first_prose][:80].lower())
-    return sig, keys, feats, labels, owners
+        body = _h(",".join(map(str, prose)))
+    return sig, body, keys, feats, labels, owners
 
 
 def trees(df: DataFrame, id_col: str, url_col: str, content_col: str, encoded: bool) -> DataFrame:
-    """One narrow row per page: (id, host, sig, keys, feats, labels, owners)."""
+    """One narrow row per page: (id, host, sig, body, keys, feats, labels, owners)."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             ids, hosts = b.column(0), b.column(1).to_pylist()
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             rows: list[int] = []
             for i, (host, content) in enumerate(zip(hosts, b.column(2).to_pylist())):
                 text = decode(content) if encoded else content
@@ -161,36 +167,40 @@ def trees(df: DataFrame, id_col: str, url_col: str, content_col: str, encoded: b
                     c.append(v)
             ints, shorts = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), ints, shorts, ints, shorts)))],
-                names=["id", "host", "sig", "keys", "feats", "labels", "owners"],
+                [ids.take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), ints, shorts, ints, shorts)))],
+                names=["id", "host", "sig", "body", "keys", "feats", "labels", "owners"],
             )
 
     narrow = pick(df, id=id_col, url=url_col, content=content_col).filter("id is not null and content is not null").select("id", site_of("url").alias("host"), "content")
-    return map_arrow(narrow, run, f"id {kind}, host bigint, sig bigint, keys array<bigint>, feats array<int>, labels array<bigint>, owners array<int>")
+    return map_arrow(narrow, run, f"id {kind}, host bigint, sig bigint, body bigint, keys array<bigint>, feats array<int>, labels array<bigint>, owners array<int>")
 
 
 def recurring(pages: DataFrame) -> DataFrame:
     """(key, host): subtrees that recur over enough different articles; host is null where they do so over all hosts.
 
-    The counts are taken over all pages, in two aggregations of narrow rows: first by
-    (key, host, article), which no hot host or line can skew, then by (key, host) and key.
+    Each title and each article's paragraphs count once, however many pages show them;
+    pages without an article don't count. The counts are taken over all pages, in two
+    aggregations of narrow rows: first by (key, host, article), which no hot host or line
+    can skew, then by (key, host). Over all hosts an article that several of them hold
+    counts once; just the keys that enough hosts show are counted for that.
     """
-    seen = pages.select("host", "sig", F.explode(F.array_distinct(F.filter(F.concat("keys", "labels"), lambda k: k != 0))).alias("key"))
-    articles = seen.groupBy("key", "host", "sig").agg(F.count(F.lit(1)).alias("pages"))
-    of_host = stage(articles.groupBy("key", "host").agg(F.count("sig").alias("articles"), F.sum("pages").alias("pages")), "subtrees")
+    seen = pages.filter("sig is not null").select("host", "sig", "body", F.explode(F.array_distinct(F.filter(F.concat("keys", "labels"), lambda k: k != 0))).alias("key"))
     row = F.col("key").bitwiseAND(3)
 
     def need(column: int):
         return F.when(row == 2, NEEDS[2][column]).when(row == 1, NEEDS[1][column]).otherwise(NEEDS[0][column])
 
-    spread = F.col("articles") >= need(2) * F.col("pages")
-    own = of_host.filter((F.col("articles") >= need(0)) & spread).select("key", "host")
-    over_all = (
-        of_host.groupBy("key")
-        .agg(F.sum("articles").alias("articles"), F.sum("pages").alias("pages"), F.sum((F.col("articles") > 0).cast("int")).alias("hosts"))
-        .filter((F.col("articles") >= need(1)) & (F.col("hosts") >= ALL_HOSTS) & spread)
-        .select("key", F.lit(None).cast("bigint").alias("host"))
-    )
+    def counted(rows: DataFrame, *by: str) -> DataFrame:
+        each = rows.select(*by, F.explode(F.array(F.struct(F.lit(True).alias("titled"), F.col("sig").alias("article")), F.struct(F.lit(False).alias("titled"), F.col("body").alias("article")))).alias("a")).select(*by, "a.*").distinct()
+        return each.groupBy(*by).agg(F.count_if("titled").alias("titles"), F.count_if(~F.col("titled")).alias("bodies"))
+
+    def enough(column: int):
+        return (F.least("titles", "bodies") >= need(column)) & (F.col("bodies") >= need(2) * F.col("titles"))
+
+    of_host = stage(counted(seen, "key", "host"), "subtrees")
+    own = of_host.filter(enough(0)).select("key", "host")
+    wide = of_host.groupBy("key").agg(F.sum("titles").alias("titles"), F.count(F.lit(1)).alias("hosts")).filter((F.col("titles") >= need(1)) & (F.col("hosts") >= ALL_HOSTS)).select("key")
+    over_all = counted(seen.join(wide, "key", "left_semi"), "key").filter(enough(1)).select("key", F.lit(None).cast("bigint").alias("host"))
     return own.unionByName(over_all)
 
 
