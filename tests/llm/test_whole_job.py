@@ -2,7 +2,7 @@ import random
 
 from test_text_operators import entries, prose
 
-from weft.llm import furniture
+from weft.llm import furniture, residue
 
 # --- problem 6
 
@@ -31,3 +31,16 @@ def test_an_article_of_several_hosts_counts_once(spark):
     own = [f"The {prose(rng, 40)[:-1]} of the day.", f"It is a {prose(rng, 12)[:-1]} in the end."]
     rows = [(i, f"https://host{'abcdefghijkl'[i // 2]}.example/p{i}", f"# The very same title here\n\n{own[0]}\n\n{own[1]}\n\nA short closing line") for i in range(24)]
     assert furniture.furniture(entries(spark, rows)).count() == 0
+
+
+# --- problem 4
+
+
+def test_filler_is_judged_whatever_comes_first():
+    rng = random.Random(8)
+    own = [f"The {prose(rng, 60)[:-1]} of the day." for _ in range(18)]
+    filler = [prose(rng, 40) for _ in range(1, 80)]
+    assert sum(map(len, own)) > 6800 and sum(map(len, filler)) > 2 * sum(map(len, own))
+    assert residue.judge("\n".join(filler + own)) == "filler"
+    assert residue.judge("\n".join(own + filler)) == "filler"
+    assert residue.judge("\n".join(own + filler[:3])) is None

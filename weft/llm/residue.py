@@ -151,7 +151,7 @@ def judge(text: str | None) -> str | None:
         if not bare:
             continue
         if len(bare) >= PROSE_CHARS and bare.count(" ") >= PROSE_WORDS - 1:
-            if own < OWN_PROSE * 40 and is_filler_paragraph(bare):
+            if is_filler_paragraph(bare):
                 filler += len(bare)
             elif len(bare) >= 150 or not NOTICE.fullmatch(bare):
                 own += len(bare)
