@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from test_text_operators import entries, prose
 
-from weft.llm import furniture, residue
+from weft.llm import furniture, mixing, residue
 
 # --- problem 6
 
@@ -33,6 +34,30 @@ def test_an_article_of_several_hosts_counts_once(spark):
     assert furniture.furniture(entries(spark, rows)).count() == 0
 
 
+# --- problem 8
+
+
+@pytest.mark.parametrize("bound", [1, 3, 5000])
+def test_folded_patterns_fill_their_route(spark, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", bound)
+    rng = random.Random(6)
+    docs = []
+    for held in ("a", "b", "c", "ab", "ac", "bc", "abc"):
+        for _ in range(20):
+            text = prose(rng, 20)
+            docs += [(len(docs) + k, text, src) for k, src in enumerate(held)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.2, 2), ("b", 0.5, 2), ("c", 0.3, 1)], "source string, target_share double, max_repeats int")
+    rep = {r["source"]: r for r in mixing.report(d, t).collect()}
+    used = mixing.mix(d, t).collect()
+    assert len({r["id"] for r in used}) == len(used)
+    longest = max(r["tokens"] for r in used)
+    for s, r in rep.items():
+        n = sum(x["tokens"] * x["copies"] for x in used if x["source"] == s)
+        assert r["used"] - 4 * longest <= n <= r["used"]
+        assert all(x["copies"] <= r["max_repeats"] for x in used if x["source"] == s)
+
+
 # --- problem 4
 
 

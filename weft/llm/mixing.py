@@ -121,7 +121,10 @@ def patterns(documents: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[d
 
 
 def plan(documents: DataFrame, targets: list[dict]) -> tuple[list[dict], list[dict]]:
-    """(routes, sources): tokens of each (pattern, source) that are used, and what each source reaches."""
+    """(routes, sources): tokens of each (pattern, source) that are used, and what each source reaches.
+
+    A route's members are None where it stands for its source's folded patterns.
+    """
     total = documents.agg(F.sum("tokens")).first()[0] or 0
     names = [t["src"] for t in targets]
     of_source = {r["src"]: r["n"] for r in documents.filter(F.col("src").isin(names)).groupBy("src").agg(F.sum("tokens").alias("n")).collect()}
@@ -151,7 +154,7 @@ def plan(documents: DataFrame, targets: list[dict]) -> tuple[list[dict], list[di
             routes.append((p, flow.arc(node[m], sink[p["src"]], repeats[p["src"]] * p["tokens"])))
     ends = {x["src"]: flow.arc(sink[x["src"]], t, quota[x["src"]]) for x in targets}
     flow.run(s, t)
-    got = [{"members": p["members"], "src": p["src"], "tokens": p["tokens"], "used": flow.through(k)} for p, k in routes if flow.through(k)]
+    got = [{"members": None if p.get("rest") else p["members"], "src": p["src"], "tokens": p["tokens"], "used": flow.through(k)} for p, k in routes]
     sources = [
         {
             "source": x["source"], "src": x["src"], "target_share": float(x["share"]), "max_repeats": repeats[x["src"]], "tokens": of_source.get(x["src"], 0),
@@ -207,7 +210,15 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, id_col: str = "doc_i
     listed = documents.filter(F.col("src").isin([t["src"] for t in wanted]) & (F.col("tokens") > 0))
     members = listed.select("h1", "h2", "src").distinct().groupBy("h1", "h2").agg(F.sort_array(F.collect_set("src")).alias("members")).filter(F.size("members") > 1)
     known = spark.createDataFrame([(x["members"], x["src"], x["tokens"], x["used"]) for x in routes], "members array<string>, src string, route_tokens bigint, used bigint")
-    each = listed.join(members, ["h1", "h2"], "left").withColumn("members", F.coalesce("members", F.array("src"))).join(known, ["members", "src"])
+    own = known.filter("members is not null")
+    rest = known.filter("members is null").select("src", F.col("route_tokens").alias("rest_tokens"), F.col("used").alias("rest_used"))
+    each = (
+        listed.join(members, ["h1", "h2"], "left").withColumn("members", F.coalesce("members", F.array("src")))
+        .join(own, ["members", "src"], "left").join(rest, "src", "left")  # one row per document: its pattern's route, else its source's rest
+        .withColumn("members", F.when(F.col("used").isNull(), F.array()).otherwise(F.col("members")))
+        .withColumns({"route_tokens": F.coalesce("route_tokens", "rest_tokens"), "used": F.coalesce("used", "rest_used")})
+        .filter("used > 0")
+    )
     whole = F.floor(F.col("used") / F.col("route_tokens"))
     order = F.xxhash64("id", F.lit(seed))
     placed = stage(
