@@ -3,7 +3,7 @@ import random
 import pytest
 from test_text_operators import entries, prose
 
-from weft.llm import furniture, mixing, residue
+from weft.llm import furniture, mixing, residue, scans
 
 # --- problem 6
 
@@ -69,3 +69,19 @@ def test_filler_is_judged_whatever_comes_first():
     assert residue.judge("\n".join(filler + own)) == "filler"
     assert residue.judge("\n".join(own + filler)) == "filler"
     assert residue.judge("\n".join(own + filler[:3])) is None
+
+
+# --- problem 2
+
+
+def test_true_counts_decide_on_misread_words(spark):
+    filler = [f"{a}{b}{c}" for a in ("ba", "do", "ga", "pa") for b in ("sto", "gra", "pla", "dru") for c in ("xa", "zo", "ka")]
+    rng = random.Random(13)
+    line = lambda w: " ".join([rng.choice(filler), w, rng.choice(filler)])
+    words = ["market"] * 250 + ["rnarket"] * 6 + ["modern"] * 15 + ["meadow"] * 60 + ["rneadow"] * 4
+    docs = [(i, ["\n".join([*(line("garden") for _ in range(3)), line(w), *(line("garden") for _ in range(3))])], None) for i, w in enumerate(words)]
+    # many words, so that a share of them would be a bar above these counts
+    docs += [(1000 + i, ["\n".join(["gastoxa " * 400] * 60)], None) for i in range(70)]
+    df = spark.createDataFrame(docs, "pdf_id bigint, content array<string>, title string")
+    got = {r["id"] for r in scans.scan_noise(df).filter("kind = 'ocr'").collect()}
+    assert got == set(range(250, 256))  # 6 against 250 is misread, 4 against 60 is not

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from weft.llm.common import map_arrow, pick
 from weft.plans.staging import stage
 
-#: A word is frequent from this count on, and at this share of all words; the share bounds the vocabulary to its inverse.
-LEAST_COUNT, LEAST_SHARE = 5, 5e-6
+#: A word is known from this count on.
+LEAST_COUNT = 5
 #: How many times as frequent as a word its correction must be.
 DOMINANCE = 20
-#: Documents (and their share) in whose page edges a template must recur.
-TEMPLATE_DOCS, TEMPLATE_SHARE = 4, 0.01
+#: Documents (and their share) in whose page edges a template must recur; share of all words from which a word may be a fixed one of a template.
+TEMPLATE_DOCS, TEMPLATE_SHARE, TEMPLATE_WORDS = 4, 0.01, 5e-6
 DIMENSIONS, WINDOW = 24, 4
 HYPHENS = "-­‐¬"
 
@@ -81,24 +81,28 @@ def words_of(pages: list[str]) -> Counter:
 
 
 class Lexicon:
-    """Frequent words, their vectors, and the corrections of rare ones (kept per worker)."""
+    """Known words, the counts of rarer ones that come more than once, vectors, and corrections (kept per worker)."""
 
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], templates: frozenset[str] = frozenset()) -> None:
-        self.counts, self.vectors, self.templates = counts, vectors, templates
+    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], templates: frozenset[str] = frozenset(), rare: dict[str, int] | None = None, fixed: int = LEAST_COUNT) -> None:
+        self.counts, self.vectors, self.templates, self.rare, self.fixed = counts, vectors, templates, rare or {}, fixed
         self._candidates: dict[str, tuple[str, ...]] = {}
         self._shapes = None
 
     def __getstate__(self):
-        return self.counts, self.vectors, self.templates
+        return self.counts, self.vectors, self.templates, self.rare, self.fixed
 
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def times(self, w: str) -> int:
+        """How often a word comes, 1 at least."""
+        return self.counts.get(w) or self.rare.get(w, 1)
+
     def candidates(self, w: str) -> tuple[str, ...]:
         """Frequent words that one or two plausible glyph edits make of ``w`` and that are much more frequent."""
         got = self._candidates.get(w)
         if got is None:
-            need = DOMINANCE * max(1, self.counts.get(w, 0))
+            need = DOMINANCE * self.times(w)
             first = _edits(w)
             got = tuple(sorted({v for v in first if self.counts.get(v, 0) >= need}))
             if not got and 4 <= len(w) <= 24:
@@ -114,7 +118,7 @@ class Lexicon:
         found = self.candidates(w)
         if not found:
             if "-" in w and w not in self.counts:
-                parts = [(p, self.correct(p) if p not in self.counts else None) for p in w.split("-")]
+                parts = [(p, self.correct(p)) for p in w.split("-")]
                 whole = "-".join(c or p for p, c in parts)
                 return whole if any(c for _, c in parts) else None
             return None
@@ -135,9 +139,9 @@ class Lexicon:
             w = bare(t)
             if not w:
                 continue
-            if w not in self.counts:
+            if self.times(w) < self.fixed:
                 w = (None if _number(w) is not None and any(c.isdigit() for c in w) else self.correct(w)) or w
-            out.append("0" if any(c.isdigit() for c in w) and _number(w) is not None else w if w in self.counts else "@")
+            out.append("0" if any(c.isdigit() for c in w) and _number(w) is not None else w if self.times(w) >= self.fixed else "@")
         return " ".join(out)
 
     def is_template(self, text: str) -> bool:
@@ -315,8 +319,10 @@ def repair(contents: list[str | None], title: str | None, lexicon: Lexicon) -> t
                 fixed = lexicon.correct(w, around)
                 if fixed is None and w not in counts and _odd_glyphs(tokens[t].strip(_EDGE)):
                     bad = True
-                if fixed is None and t + 1 < last and w not in counts and plain_words[t + 1] not in counts and w.isalpha() and counts.get(w + plain_words[t + 1], 0) >= DOMINANCE:
-                    bad = True
+                if fixed is None and t + 1 < last and w.isalpha():
+                    whole, after = counts.get(w + plain_words[t + 1], 0), plain_words[t + 1]
+                    if whole >= DOMINANCE and (w not in counts and after not in counts or whole >= DOMINANCE * max(lexicon.times(w), lexicon.times(after))):
+                        bad = True
             if fixed:
                 bad = True
                 text.append(_as(tokens[t], w, fixed))
@@ -392,7 +398,7 @@ def _as(token: str, w: str, fixed: str) -> str:
     return token[:at] + new + token[at + len(w) :]
 
 
-def learn(docs: DataFrame) -> tuple[Lexicon, int]:
+def learn(docs: DataFrame) -> Lexicon:
     """A lexicon of (id, title, pages): counts, vectors and templates over all documents."""
 
     def counted(batches):
@@ -403,18 +409,19 @@ def learn(docs: DataFrame) -> tuple[Lexicon, int]:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     words = stage(map_arrow(docs.select("pages"), counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COUNT, math.ceil(total * LEAST_SHARE))
-    counts = {r["word"]: r["n"] for r in words.filter(F.col("n") >= least).collect()}  # at most 1 / LEAST_SHARE words
+    several = {r["word"]: r["n"] for r in words.filter("n > 1").collect()}  # all that come once count 1 without being listed
+    counts = {w: n for w, n in several.items() if n >= LEAST_COUNT}
+    rare = {w: n for w, n in several.items() if n < LEAST_COUNT}
     vectors: dict[str, np.ndarray] = {}
     sentences = None
     if counts:
         sentences = docs.select(F.explode("pages").alias("page")).select(F.split(F.lower("page"), r"[^\p{L}\p{N}\-']+").alias("tokens")).filter(F.size("tokens") > 1)
-    if sentences is not None and not sentences.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= least).isEmpty():
+    if sentences is not None and not sentences.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= LEAST_COUNT).isEmpty():
         slots = max(1, min(64, docs.sparkSession.sparkContext.defaultParallelism))
-        model = Word2Vec(vectorSize=DIMENSIONS, windowSize=WINDOW, minCount=least, maxIter=1, numPartitions=slots, seed=11, inputCol="tokens", outputCol="v").fit(sentences)
+        model = Word2Vec(vectorSize=DIMENSIONS, windowSize=WINDOW, minCount=LEAST_COUNT, maxIter=1, numPartitions=slots, seed=11, inputCol="tokens", outputCol="v").fit(sentences)
         vectors = {r["word"]: _unit(np.array(r["vector"].toArray(), np.float32)) for r in model.getVectors().collect()}
-    lexicon = Lexicon(counts, vectors)
+    fixed = max(LEAST_COUNT, math.ceil((words.agg(F.sum("n")).first()[0] or 0) * TEMPLATE_WORDS))
+    lexicon = Lexicon(counts, vectors, rare=rare, fixed=fixed)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def edges(batches):
@@ -435,7 +442,7 @@ def learn(docs: DataFrame) -> tuple[Lexicon, int]:
     n_docs = docs.count()
     often = map_arrow(docs.select("pages"), edges, "template string, n bigint").groupBy("template").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(TEMPLATE_DOCS, math.ceil(n_docs * TEMPLATE_SHARE)))
     kept = frozenset(r["template"] for r in often.collect() if set(r["template"].split()) - {"@", "0"})
-    return Lexicon(counts, vectors, kept), n_docs
+    return Lexicon(counts, vectors, kept, rare, fixed)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -455,7 +462,7 @@ def scan_noise(df: DataFrame, id_col: str = "pdf_id", pages_col: str = "content"
     no row, a null page is an empty one, and an id that comes several times counts once.
     """
     docs = _documents(df, id_col, pages_col, title_col)
-    lexicon, _ = learn(docs)
+    lexicon = learn(docs)
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -475,7 +482,7 @@ def scan_noise(df: DataFrame, id_col: str = "pdf_id", pages_col: str = "content"
 def paragraphs(df: DataFrame, id_col: str = "pdf_id", pages_col: str = "content", title_col: str | None = "title") -> DataFrame:
     """(id, para_no, text): the repaired documents as continuous paragraphs."""
     docs = _documents(df, id_col, pages_col, title_col)
-    lexicon, _ = learn(docs)
+    lexicon = learn(docs)
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
