@@ -46,15 +46,39 @@ def test_repeated_lines_equal_brute_force(spark):
     assert repeated.repeated_lines(entries(spark, [])).count() == 0
 
 
-def test_repeated_lines_are_cut(spark):
-    from weft.sources.tables import cache_text
-
+def test_repeats_are_cut(spark):
     rows = [(i, "https://a.example/", f"only here number {WORDS[i]} {WORDS[i + 1]}\nThe very same notice everywhere") for i in range(6)]
-    df = entries(spark, rows)
-    out = repeated.without_lines(df, repeated.repeated_lines(df), "entry_id", cache_text()).collect()
+    out = repeated.without_repeats(entries(spark, rows)).collect()
     assert len(out) == 6 and all("notice" not in r["text"] and "only here" in r["text"] for r in out)
 
 
+def test_repeats_without_line_breaks_are_cut(spark):
+    rng = random.Random(31)
+    notice = "All views on this page are those of their authors alone, and nobody else may be held to them in any way or form."
+    own = [(prose(rng, 60), prose(rng, 60)) for _ in range(12)]
+    rows = [(i, "https://a.example/", f"{a} {notice} {b}" if i < 9 else f"{a} {b}") for i, (a, b) in enumerate(own)]
+    rows += [(100 + i, f"https://host{i}.example/", f"{a} {notice} {b}") for i, (a, b) in enumerate(own[:6])]  # once on each site
+    rows += [rows[0], (900, "https://a.example/", None), (901, None, ""), (902, "https://a.example/", "ab")]
+    got = {r["id"]: r["text"] for r in repeated.without_repeats(entries(spark, rows)).collect()}
+    for i, (a, b) in enumerate(own):
+        assert got[i].replace("  ", " ") == f"{a} {b}"
+    assert all(notice in got[100 + i] for i in range(6)) and got[900] is None and got[901] == "" and got[902] == "ab"
+    assert repeated.without_repeats(entries(spark, [])).count() == 0
+
+
+def test_chunks_do_not_depend_on_what_stands_before():
+    rng = random.Random(32)
+    middle = prose(rng, 80)
+    a = repeated.chunk_text([prose(rng, 30) + middle, "İx " + middle + prose(rng, 5)])
+    one = set(a[4][a[0] == 0].tolist())
+    two = set(a[4][a[0] == 1].tolist())
+    assert len(one & two) >= 0.5 * len(two)
+    texts = ["", "İx " + middle, "\n", "ab\ncd"]
+    no, s, e, n, _ = repeated.chunk_text(texts)
+    for i, t in enumerate(texts):
+        assert "".join(c for k in range(len(no)) if no[k] == i for c in t[s[k] : e[k]] if c.isalpha()) == "".join(filter(str.isalpha, t))
+
+
 # --- problem 5
 
 

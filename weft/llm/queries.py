@@ -73,8 +73,7 @@ def p1_found(spark, sf_dir):
 @LLM.add("p1_clean")
 def p1_clean(spark, sf_dir):
     entries = latest_delivery(table(spark, sf_dir, "cache_entries").select("entry_id", "url", "content", "stored_at"), "entry_id", "stored_at")
-    found = repeated.repeated_lines(table(spark, sf_dir, "cache_entries"))
-    return repeated.without_lines(entries, found, "entry_id", cache_text()).withColumnRenamed("id", "entry_id")
+    return repeated.without_repeats(entries).withColumnRenamed("id", "entry_id")
 
 
 @LLM.add("p4_found")
@@ -85,8 +84,7 @@ def p4_found(spark, sf_dir):
 @LLM.add("p4_kept")
 def p4_kept(spark, sf_dir):
     entries = latest_delivery(table(spark, sf_dir, "cache_entries").select("entry_id", "url", "content", "stored_at"), "entry_id", "stored_at")
-    bad = residue.residue(entries).withColumnRenamed("id", "entry_id").distinct()
-    return entries.join(bad, "entry_id", "left_anti").select("entry_id", "url", cache_text().alias("text"))
+    return residue.kept(entries).withColumnRenamed("id", "entry_id")
 
 
 @LLM.add("p6_found")

@@ -184,3 +184,20 @@ def residue(df: DataFrame, id_col: str = "entry_id", content_col: str = "content
             yield batch({"id": ([k for k, _ in got], b.schema.field(0).type), "reason": ([r for _, r in got], pa.string())})
 
     return map_arrow(pick(df, id=id_col, content=content_col), run, f"id {kind}, reason string")
+
+
+def kept(df: DataFrame, id_col: str = "entry_id", url_col: str = "url", content_col: str = "content", encoded: bool = True) -> DataFrame:
+    """(id, url, text) of the rows whose text is real content, judged and kept in one pass, without a join.
+
+    Empty, null and undecodable texts are no residue and stay; repeated rows stay repeated.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            texts = [decode(c) if encoded else c for c in b.column(2).to_pylist()]
+            at = [i for i, t in enumerate(texts) if judge(t) is None]
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array([texts[i] for i in at], pa.string())], names=["id", "url", "text"])
+
+    return map_arrow(pick(df, id=id_col, url=url_col, content=content_col), run, f"id {kind}, url string, text string")
