@@ -238,19 +238,42 @@ def test_near_duplicates_equal_brute_force(spark, limit):
     assert neardup.all_pairs(*empty).count() == 0
 
 
-def test_gray_index_finds_what_all_pairs_find():
+@pytest.mark.parametrize("n,m", [(500, None), (1, None), (17, None), (300, 90), (3, 200)])
+def test_gray_index_finds_what_all_pairs_find(n, m):
     import numpy as np
 
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, (40, 3), dtype=np.int64).view(np.uint64)
-    rows = base[rng.integers(0, 40, 500)].copy()
-    for r in rows:
-        for _ in range(rng.integers(0, 40)):
-            r[rng.integers(0, 3)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
-    i, j = neardup.node_pairs(rows, 50, leaf=16)
-    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
-    d = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2)
-    assert got == {(a, b) for a, b in zip(*np.nonzero(np.triu(d <= 50, 1)))}
+
+    def near(n):
+        rows = base[rng.integers(0, 40, n)].copy()
+        for r in rows:
+            for _ in range(rng.integers(0, 40)):
+                r[rng.integers(0, 3)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+        return rows[np.lexsort(neardup.gray_rank(rows).T[::-1])]
+
+    rows, other = near(n), None if m is None else near(m)
+    i, j = neardup.node_pairs(rows, 50, other)
+    d = np.bitwise_count(rows[:, None] ^ (rows if other is None else other)[None]).sum(2)
+    true = d <= 50
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*np.nonzero(np.triu(true, 1) if other is None else true)))
+    assert (neardup.gray_code(neardup.gray_rank(rows)) == rows).all()
+
+
+def test_large_nodes_are_split(spark):
+    """Texts that share a stock sentence meet in large nodes though few of them are near each other."""
+    rng = random.Random(12)
+    stock = " ".join(f"stock{i}" for i in range(14))
+    rows = []
+    for i in range(300):
+        own = [f"own{i}x{k}" for k in range(14)]
+        rows.append((i, stock + " " + " ".join(own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, stock + " " + " ".join([*own[:-2], "other", "end"])))
+    df = spark.createDataFrame(rows, "hit_id bigint, snippet string")
+    members, links = neardup.similar([(df, "hit_id", "snippet", "hits", 12, False)], node_limit=20)
+    got = {(r["id_a"], r["id_b"]) for r in neardup.all_pairs(members, links).collect()}
+    assert got == {(i, 1000 + i) for i in range(0, 300, 10)}
 
 
 # --- problem 9

@@ -1,15 +1,22 @@
 """Problem 3: records that share most of their word runs, found over a Gray-order hierarchical index.
 
-Each text is its set of word runs (shingles), and gets a binary fingerprint: one bit of
-each of 192 min-hashes, so that the share of differing bits follows the sets' distance.
-The index's upper nodes are shared masked bit patterns: a mask shows three whole
-min-hashes, and texts meet only below a pattern that they share. Below it they are
-sorted by Gray rank, runs of neighbours form nodes with the bits they agree in, and the
-differences accumulated between two nodes prune all their pairs at once. What is left
-is checked exactly on the sets.
-
-Similarity 0.6 loses a pair at a chance of 0.3 % with 24 masks, 0.7 at 0.005 %; all
-that is found is exact.
+Each text is its set of word runs (shingles) and gets a binary fingerprint: 16 bits of each
+of 72 min-hashes, and one bit of each of 192. The share of differing bits follows the
+sets' distance. The index is a hierarchy over fingerprints in Gray order:
+
+* Upper nodes are masked bit patterns. A mask shows 48 bits of a fingerprint; in the order of
+  the Gray rank of these bits, texts that share the pattern stand side by side.
+* Below an upper node texts stand in Gray order of the 192 bits. Neighbours form lower nodes
+  that keep the bits in which all agree; nodes of nodes keep fewer. The search goes down from
+  the top with pairs of nodes, and the differences that have accumulated in the bits which
+  both sides agree in prune all pairs below at once.
+* An upper node with too many members for one task is split by further masked patterns, of other
+  min-hashes, until its parts are small. Where its members are near each other on average, or
+  four levels leave it large, it is cut into blocks in Gray order, and the pairs of blocks
+  that what they agree in doesn't prune are compared.
+
+What is left is checked exactly on the sets. Similarity 0.6 loses a pair at a chance of 0.3 % a
+level with 24 masks, 0.7 at 0.005 %; all that is found is exact.
 """
 
 from __future__ import annotations
@@ -26,11 +33,12 @@ from weft.llm.common import decode, map_arrow, pick, steps
 from weft.plans.staging import stage
 
 RUN, SIMILARITY = 3, 0.6
-MASKS, SHOWN, BITS = 24, 3, 192
-#: Members of an upper node that one task holds together; larger nodes are cut into blocks by Gray rank.
-NODE_LIMIT = 4096
-#: Neighbours in Gray order that form a lower node.
-LEAF = 64
+#: Masks of an upper level, min-hashes that one shows, bits of each of these, and bits of the fingerprint's part below upper nodes.
+MASKS, SHOWN, CELL, BITS = 24, 3, 16, 192
+#: Members of an upper node that one task holds together; larger nodes are split by further patterns, LEVELS times at most.
+NODE_LIMIT, LEVELS = 4096, 4
+#: Neighbours in Gray order that form a lower node, and lower nodes that form the next.
+LEAF, FAN = 16, 8
 #: Texts with candidates up to which their names are broadcast (16 bytes each) to pick their sets; more are joined by shuffle.
 BROADCAST_NAMES = 1_000_000
 
@@ -55,7 +63,7 @@ def _constants(n: int, salt: int) -> np.ndarray:
     return _mix(np.arange(1 + salt, n + 1 + salt, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-_A, _B = _constants(BITS, 0) | _U(1), _constants(BITS, 1000)
+_A, _B = _constants(BITS + LEVELS * MASKS * SHOWN, 0) | _U(1), _constants(BITS + LEVELS * MASKS * SHOWN, 1000)
 
 
 def shingle_sets(texts: list[str], run: int, least_words: int, seen: dict[str, int]) -> tuple[list[int], list[np.ndarray]]:
@@ -94,18 +102,31 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _hashed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return _mix(np.concatenate(sets)), np.cumsum([0, *(len(s) for s in sets[:-1])])
+
+
+def shown_bits(x: np.ndarray, starts: np.ndarray, level: int, mins: np.ndarray | None = None) -> np.ndarray:
+    """The masked patterns of a level (n x MASKS): 48 bits, 16 of each of three min-hashes; each level has its own."""
+    out = np.zeros((len(starts), MASKS), _U)
+    first = 0 if level == 0 else BITS + (level - 1) * MASKS * SHOWN
+    for i in range(MASKS * SHOWN):
+        least = mins[:, i] if mins is not None else np.minimum.reduceat((x ^ _B[first + i]) * _A[first + i], starts)
+        out[:, i // SHOWN] = (out[:, i // SHOWN] << _U(CELL)) | (_mix(least) >> _U(64 - CELL))
+    return out
+
+
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(min-hashes shown by the masks, n x MASKS*SHOWN; fingerprints, n x 3 words of 64 bits)."""
-    x = _mix(np.concatenate(sets))
-    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    shown = np.empty((len(sets), MASKS * SHOWN), _U)
+    """(masked patterns of the first level, n x MASKS; the 192 bits, n x 3 words)."""
+    x, starts = _hashed(sets)
+    mins = np.empty((len(sets), MASKS * SHOWN), _U)
     bits = np.zeros((len(sets), BITS // 64), _U)
     for i in range(BITS):
         least = np.minimum.reduceat((x ^ _B[i]) * _A[i], starts)
         if i < MASKS * SHOWN:
-            shown[:, i] = least
+            mins[:, i] = least
         bits[:, i // 64] |= ((_mix(least) >> _U(17)) & _U(1)) << _U(63 - i % 64)
-    return shown, bits
+    return shown_bits(x, starts, 0, mins), bits
 
 
 def gray_rank(words: np.ndarray) -> np.ndarray:
@@ -122,42 +143,68 @@ def gray_rank(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int32)
+def gray_code(ranks: np.ndarray) -> np.ndarray:
+    """The fingerprints at these places of the Gray order."""
+    out = ranks ^ (ranks >> _U(1))
+    out[:, 1:] ^= (ranks[:, :-1] & _U(1)) << _U(63)
+    return out
+
+
+class Tree:
+    """Lower nodes over rows in Gray order: per level the bits in which all members agree, and these bits' values."""
 
+    def __init__(self, bits: np.ndarray) -> None:
+        self.n = len(bits)
+        self.rows = np.concatenate([bits, np.repeat(bits[-1:], -self.n % LEAF, axis=0)])
+        every, some = self.rows, self.rows
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves up
+        size = LEAF
+        while not self.levels or len(every) > 1:
+            at = np.arange(0, len(every), size)
+            every, some = np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
+            self.levels.append((every | ~some, every))
+            size = FAN
 
-def node_pairs(bits: np.ndarray, most: int, leaf: int = LEAF, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``most`` differing bits below one upper node (or between two blocks), by the hierarchical index.
 
-    Rows are put in Gray order; each run of ``leaf`` neighbours keeps the bits in which
-    all agree. Two runs whose agreed bits differ too often are pruned as a whole.
+def node_pairs(bits: np.ndarray, most: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within ``most`` differing bits, of one set of rows or of two, both in Gray order.
+
+    Goes down from the top with pairs of nodes. A node agrees in all bits that its parent
+    does, so differences accumulate on the way; a pair with more than ``most`` is pruned.
     """
-    ours, theirs = np.lexsort(gray_rank(bits).T[::-1]), None
-    sides = [bits[ours]]
-    if other is not None:
-        theirs = np.lexsort(gray_rank(other).T[::-1])
-        sides.append(other[theirs])
-    nodes = []
-    for rows in sides:
-        at = np.arange(0, len(rows), leaf)
-        every, some = np.bitwise_and.reduceat(rows, at), np.bitwise_or.reduceat(rows, at)
-        nodes.append((rows, at, every | ~some, every))
-    (ra, ia, ma, pa_), (rb, ib, mb, pb) = nodes[0], nodes[-1]
-    left, right = [], []
-    for i, a in enumerate(ia):
-        first = i if other is None else 0
-        bound = np.bitwise_count((pa_[i] ^ pb[first:]) & ma[i] & mb[first:]).sum(1)
-        for j in np.flatnonzero(bound <= most) + first:
-            near = _differences(ra[a : a + leaf], rb[ib[j] : ib[j] + leaf]) <= most
-            if other is None and j == i:
-                near = np.triu(near, 1)
-            x, y = np.nonzero(near)
-            left.append(x + a)
-            right.append(y + ib[j])
-    if not left:
+    if not len(bits) or (other is not None and not len(other)):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    x, y = np.concatenate(left), np.concatenate(right)
-    return ours[x], (ours if theirs is None else theirs)[y]
+    one = Tree(bits)
+    two = one if other is None else Tree(other)
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for k in range(max(len(one.levels), len(two.levels)) - 1, -1, -1):
+        ka, kb = min(k, len(one.levels) - 1), min(k, len(two.levels) - 1)
+        (ma, va), (mb, vb) = one.levels[ka], two.levels[kb]
+        keep = np.bitwise_count((va[i] ^ vb[j]) & ma[i] & mb[j]).sum(1) <= most
+        i, j = i[keep], j[keep]
+        if k:
+            i, j = _children(i, j, len(one.levels[k - 1][0]) if k == ka else 0, len(two.levels[k - 1][0]) if k == kb else 0, other is None)
+    left, right = [], []
+    inside = np.arange(LEAF)
+    for s in range(0, len(i), 1024):
+        a, b = i[s : s + 1024, None] * LEAF + inside, j[s : s + 1024, None] * LEAF + inside
+        near = np.bitwise_count(one.rows[a][:, :, None] ^ two.rows[b][:, None]).sum(3, dtype=np.int32) <= most
+        p, x, y = np.nonzero(near)
+        x, y = a[p, x], b[p, y]
+        ok = (x < one.n) & (y < two.n) & ((x < y) if other is None else True)
+        left.append(x[ok])
+        right.append(y[ok])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _children(i: np.ndarray, j: np.ndarray, n: int, m: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children; ``n`` and ``m`` are the numbers of children, 0 for a side that has no level here."""
+    step = np.arange(FAN)
+    x = np.repeat(i[:, None] * FAN + step if n else i[:, None], FAN if m else 1, axis=1)
+    y = np.tile(j[:, None] * FAN + step if m else j[:, None], (1, FAN if n else 1))
+    x, y = x.ravel(), y.ravel()
+    ok = ((x < n) if n else True) & ((y < m) if m else True) & ((x <= y) if same else True)
+    return x[ok], y[ok]
 
 
 def _sets_of(df: DataFrame, id_col: str, text_col: str, tag: str, run: int, least_words: int, encoded: bool) -> DataFrame:
@@ -187,57 +234,106 @@ def _sets_of(df: DataFrame, id_col: str, text_col: str, tag: str, run: int, leas
     return map_arrow(narrow, work, f"tbl string, id {kind}, doc bigint, size int, set binary")
 
 
-def _postings(docs: DataFrame) -> DataFrame:
-    """(node, doc, w0, w1, w2): each distinct text below each of its upper nodes."""
+def _postings(docs: DataFrame, tags: list[str]) -> DataFrame:
+    """(node, doc, r0, r1, r2): each distinct text below each of its upper nodes; ``r`` is its Gray rank there.
+
+    A node is the Gray rank of its relation's number, its mask's number and the 48 bits that the mask shows.
+    """
+    number = {t: i for i, t in enumerate(tags)}
 
     def work(batches):
         for b in batches:
             packed = b.column(2).to_pylist()
-            tags = b.column(0).to_pylist()
+            of = np.array([number[t] for t in b.column(0).to_pylist()], _U)
             for s, e in steps([len(p) for p in packed], 600_000):
-                sets = [_unpack(p) for p in packed[s:e]]
-                shown, bits = fingerprints(sets)
-                salt = np.array([xxhash.xxh3_64_intdigest(t) for t in tags[s:e]], _U)
-                nodes = np.empty((len(sets), MASKS), _U)
-                for m in range(MASKS):
-                    h = salt + _U(m)
-                    for k in range(SHOWN):
-                        h = _mix(h * _U(5) + shown[:, m * SHOWN + k])
-                    nodes[:, m] = h
-                doc = np.repeat(b.column(1).slice(s, e - s).to_numpy(), MASKS)
-                wide = np.repeat(bits, MASKS, axis=0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1).view(np.int64)), pa.array(doc), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(3))], names=["node", "doc", "w0", "w1", "w2"])
+                shown, bits = fingerprints([_unpack(p) for p in packed[s:e]])
+                yield _below(shown | ((of[s:e, None] << _U(56)) | (np.arange(MASKS, dtype=_U) << _U(48))), b.column(1).slice(s, e - s).to_numpy(), gray_rank(bits))
+
+    return map_arrow(docs.filter("set is not null").select("tbl", "doc", "set"), work, _POSTING)
+
 
-    return map_arrow(docs.filter("set is not null").select("tbl", "doc", "set"), work, "node bigint, doc bigint, w0 bigint, w1 bigint, w2 bigint")
+_POSTING = "node bigint, doc bigint, r0 bigint, r1 bigint, r2 bigint"
 
 
-_PAIRS = "a bigint, b bigint, node bigint, doc bigint, w0 bigint, w1 bigint, w2 bigint"
+def _below(patterns: np.ndarray, doc: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
+    node = gray_rank(patterns.reshape(-1, 1))[:, 0].view(np.int64)
+    n = patterns.shape[1]
+    wide = np.repeat(ranks, n, axis=0).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(doc, n)), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(3))], names=["node", "doc", "r0", "r1", "r2"])
+
+
+def _split(docs: DataFrame, large: DataFrame, level: int) -> DataFrame:
+    """Postings of the members of large nodes below the nodes' own parts: further masked patterns of a deeper level."""
+
+    def prints(batches):
+        for b in batches:
+            sets = b.column(1).to_pylist()
+            for s, e in steps([len(p) for p in sets], 600_000):
+                x, starts = _hashed([_unpack(p) for p in sets[s:e]])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array([r.tobytes() for r in shown_bits(x, starts, level)], pa.binary())], names=["doc", "shown"])
+
+    def work(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            shown = np.frombuffer(b"".join(b.column(5).to_pylist()), _U).reshape(-1, MASKS)
+            node = _mix(b.column(0).to_numpy().view(_U))[:, None]
+            # a part's name is its node's and its pattern's, as both must be shared
+            ranks = np.stack([b.column(k).to_numpy() for k in range(2, 5)], 1).view(_U)
+            yield _below(_mix(shown ^ node ^ (np.arange(MASKS, dtype=_U) << _U(50))), b.column(1).to_numpy(), ranks)
+
+    members = stage(large.select("node", "doc", "r0", "r1", "r2").distinct(), "members")
+    sets = docs.filter("set is not null").select("doc", "set").join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    return map_arrow(members.join(map_arrow(sets, prints, "doc bigint, shown binary"), "doc").select("node", "doc", "r0", "r1", "r2", "shown"), work, _POSTING)
+
+
+_PAIRS = "a bigint, b bigint, node bigint, doc bigint, r0 bigint, r1 bigint, r2 bigint"
+_NAMES = ["a", "b", "node", "doc", "r0", "r1", "r2"]
 
 
 def _out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     low, high = np.minimum(a, b), np.maximum(a, b)
     two = np.unique(np.stack([low, high], 1)[low != high], axis=0)
     none = pa.nulls(len(two), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), none, none, none, none, none], names=["a", "b", "node", "doc", "w0", "w1", "w2"])
+    return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), none, none, none, none, none], names=_NAMES)
+
+
+def _bits(rows: np.ndarray) -> np.ndarray:
+    return gray_code(np.ascontiguousarray(rows[:, 2:]).view(_U))
 
 
 def _search(most: int, limit: int):
-    """Streams rows sorted by node. Members of one node are held up to ``limit``; of larger nodes all rows are passed on."""
+    """Streams postings in order of node and Gray rank. Nodes of up to ``limit`` members are searched.
+
+    Larger ones are passed on, and behind them a row without ``doc`` whose ``r0`` says whether two members
+    differ by no more than ``most`` bits on average.
+    """
 
     def work(batches):
         held: list[np.ndarray] = []  # rows of the last node, which may go on
-        open_node, hot, count = None, False, 0
+        open_node, large, count = None, False, 0
+        ones = np.zeros(BITS)
 
         def pass_on(rows: np.ndarray):
+            nonlocal ones
+            ones = ones + np.unpackbits(_bits(rows).view(np.uint8).reshape(len(rows), -1), axis=1).sum(0)
             none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(5))], names=["a", "b", "node", "doc", "w0", "w1", "w2"])
+            return pa.RecordBatch.from_arrays([none, none, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(5))], names=_NAMES)
 
         def close():
+            nonlocal ones
+            if large:
+                share, ones = ones / count, np.zeros(BITS)
+                none = pa.nulls(1, pa.int64())
+                alike = int((2 * share * (1 - share)).sum() <= most)
+                return pa.RecordBatch.from_arrays([none, none, pa.array([open_node], pa.int64()), none, pa.array([alike], pa.int64()), none, none], names=_NAMES)
+            if not held:
+                return None
             rows = np.concatenate(held)
-            rows = rows[np.unique(rows[:, 1], return_index=True)[1]]
+            rows = rows[np.sort(np.unique(rows[:, 1], return_index=True)[1])]
             if len(rows) < 2:
                 return None
-            x, y = node_pairs(np.ascontiguousarray(rows[:, 2:]).view(_U), most)
+            x, y = node_pairs(_bits(rows), most)
             return _out(rows[x, 1], rows[y, 1])
 
         for b in batches:
@@ -246,54 +342,45 @@ def _search(most: int, limit: int):
             rows = np.stack([b.column(k).to_numpy() for k in range(5)], 1)
             cut = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
             sizes = np.diff(np.r_[cut, len(rows)])
-            # nodes wholly inside the batch with few members are compared all at once
+            # nodes wholly inside the batch that are no more than one leaf: all of them at once
             inner = np.ones(len(cut), bool)
             inner[0] = inner[-1] = False
-            small = inner & (sizes > 1) & (sizes <= 32)
-            if small.any():
-                pick_ = np.repeat(small, sizes)
-                part = rows[pick_]
-                bits = np.ascontiguousarray(part[:, 2:]).view(_U)
+            leaves = inner & (sizes > 1) & (sizes <= LEAF)
+            if leaves.any():
+                part = rows[np.repeat(leaves, sizes)]
+                bits = _bits(part)
                 left, right = [], []
-                for d in range(1, int(sizes[small].max())):
+                for d in range(1, int(sizes[leaves].max())):
                     same = np.flatnonzero(part[d:, 0] == part[:-d, 0])
-                    if not len(same):
-                        break
                     near = same[np.bitwise_count(bits[same] ^ bits[same + d]).sum(1) <= most]
                     left.append(part[near, 1])
                     right.append(part[near + d, 1])
-                if left:
-                    yield _out(np.concatenate(left), np.concatenate(right))
-            for i in np.flatnonzero(~inner | (sizes > 32)):
+                yield _out(np.concatenate(left), np.concatenate(right))
+            for i in np.flatnonzero(~inner | (sizes > LEAF)):
                 own = rows[cut[i] : cut[i] + sizes[i]]
                 if open_node is not None and own[0, 0] != open_node:
-                    if not hot and held and (found := close()) is not None:
+                    if (found := close()) is not None:
                         yield found
-                    held, hot, count = [], False, 0
-                open_node = own[0, 0]
+                    held, large, count = [], False, 0
+                open_node = int(own[0, 0])
                 count += len(own)
-                if hot:
+                if large:
                     yield pass_on(own)
                     continue
                 held.append(own)
                 if count > limit:
-                    hot = True
+                    large = True
                     yield pass_on(np.concatenate(held))
                     held = []
-        if not hot and held and (found := close()) is not None:
+        if open_node is not None and (found := close()) is not None:
             yield found
 
     return work
 
 
-def _hot_pairs(hot: DataFrame, most: int, block: int) -> DataFrame:
-    """Pairs below large nodes: blocks cut in Gray order over all tasks, block summaries pruned, block pairs compared."""
-
-    def rank(batches):
-        for b in batches:
-            bits = np.stack([b.column(k).to_numpy() for k in range(2, 5)], 1).view(_U)
-            g = (gray_rank(bits)[:, 0] ^ _U(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(g)], names=[*b.schema.names, "rank"])
+def _in_blocks(large: DataFrame, most: int, block: int) -> DataFrame:
+    """Pairs below nodes that no level has made small: blocks in Gray order over all tasks, block pairs pruned by what
+    the blocks agree in, the others compared."""
 
     def cut(batches):
         from pyspark import TaskContext
@@ -306,11 +393,13 @@ def _hot_pairs(hot: DataFrame, most: int, block: int) -> DataFrame:
                     n, last, size = n + 1, node, 0
                 size += 1
                 ids.append((part << 32) + n)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.int64())], names=[*b.schema.names[:5], "block"])
+            bits = _bits(np.stack([b.column(k).to_numpy() for k in range(5)], 1)).view(np.int64) if b.num_rows else np.empty((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(3)), pa.array(ids, pa.int64())], names=[*b.schema.names[:5], *words, "block"])
 
-    ranked = map_arrow(hot.select("node", "doc", "w0", "w1", "w2").distinct(), rank, "node bigint, doc bigint, w0 bigint, w1 bigint, w2 bigint, rank bigint")
-    blocks = stage(map_arrow(ranked.repartitionByRange("node", "rank", "doc").sortWithinPartitions("node", "rank", "doc"), cut, "node bigint, doc bigint, w0 bigint, w1 bigint, w2 bigint, block bigint"), "blocks")
     words = ("w0", "w1", "w2")
+    order = ("node", "r0", "r1", "r2", "doc")
+    members = stage(large.select("node", "doc", "r0", "r1", "r2").distinct(), "large")
+    blocks = stage(map_arrow(members.repartitionByRange(*order).sortWithinPartitions(*order), cut, f"{_POSTING}, w0 bigint, w1 bigint, w2 bigint, block bigint"), "blocks")
     summary = blocks.groupBy("node", "block").agg(*[F.bit_and(w).alias(f"e{w}") for w in words], *[F.bit_or(w).alias(f"s{w}") for w in words])
     x, y = summary.alias("x"), summary.alias("y")
     agreed = [F.bit_count(F.col(f"x.e{w}").bitwiseXOR(F.col(f"y.e{w}")).bitwiseAND(F.col(f"x.e{w}").bitwiseOR(F.bitwise_not(f"x.s{w}"))).bitwiseAND(F.col(f"y.e{w}").bitwiseOR(F.bitwise_not(f"y.s{w}")))) for w in words]
@@ -321,7 +410,7 @@ def _hot_pairs(hot: DataFrame, most: int, block: int) -> DataFrame:
         import pandas as pd
 
         p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        a, b = pdf[pdf["block"] == p], pdf[pdf["block"] == q]
+        a, b = pdf[pdf["block"] == p].sort_values(["r0", "r1", "r2"]), pdf[pdf["block"] == q].sort_values(["r0", "r1", "r2"])
         bits = [np.ascontiguousarray(s[list(words)].to_numpy(np.int64)).view(_U) for s in (a, b)]
         i, j = node_pairs(bits[0], most, other=None if p == q else bits[1])
         da, db = a["doc"].to_numpy()[i], b["doc"].to_numpy()[j]
@@ -361,14 +450,24 @@ def similar(
     for p in parts[1:]:
         union = union.unionByName(p)
     docs = stage(union, "sets")
-    found = stage(
-        map_arrow(_postings(docs).repartition("node").sortWithinPartitions("node"), _search(radius(similarity), node_limit), _PAIRS),
-        "near",
-    )
-    pairs = found.filter("a is not null").select("a", "b")
-    hot = found.filter("node is not null")
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(_hot_pairs(hot, radius(similarity), node_limit))
+    most = radius(similarity)
+    postings = _postings(docs, [r[3] for r in relations])
+    found = []
+    for level in range(LEVELS + 1):
+        got = stage(map_arrow(postings.repartition("node").sortWithinPartitions("node", "r0", "r1", "r2"), _search(most, node_limit), _PAIRS), "near")
+        found.append(got.filter("a is not null").select("a", "b"))
+        named = got.filter("node is not null and doc is null").select("node", F.col("r0").alias("alike"))
+        if named.isEmpty():
+            break
+        large = got.filter("node is not null and doc is not null").join(named, "node")
+        # where most pairs are near, splitting finds the same pairs over and over
+        found.append(_in_blocks(large.filter("alike = 1") if level < LEVELS else large, most, node_limit))
+        if level == LEVELS or named.filter("alike = 0").isEmpty():
+            break
+        postings = _split(docs, large.filter("alike = 0"), level + 1)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
     pairs = stage(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     if needed.count() <= BROADCAST_NAMES:
