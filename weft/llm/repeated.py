@@ -25,6 +25,8 @@ from weft.sources.tables import site_of
 MIN_LETTERS, MIN_ENTRIES = 12, 5
 #: Letters that the rolling hash sees, and the bits that must be zero at a cut (chunks of about 32 letters).
 WINDOW, CUT_MASK = 8, 31
+#: The same for lines: one cut in two is left out, and chunks are twice as long.
+LINE_MASK = 63
 #: Letters that a run of repeated chunks must have to be cut out of a text, so that common phrases stay.
 MIN_RUN = 40
 
@@ -84,7 +86,7 @@ class _Stream:
     stays as it was, as in a run of one letter, cuts nothing.
     """
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], mask: int = CUT_MASK) -> None:
         big = "\n".join(map(_lower, texts))
         self.codes = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.at = np.flatnonzero(_table("letter")[self.codes])
@@ -100,7 +102,7 @@ class _Stream:
             h[back:] ^= turned[:-back]
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
-        self.cut = (((h >> _U(20)) & _U(CUT_MASK)) == 0) & ~same
+        self.cut = (((h >> _U(20)) & _U(mask)) == 0) & ~same
 
     def since(self, begin: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """Each letter's place within the part it belongs to."""
@@ -141,7 +143,7 @@ def chunk_lines(texts: list[str], min_letters: int = MIN_LETTERS):
     The parts are what the line holds of the text's chunks. Of the cuts only those count that letters of the
     line alone decide, so equal letters give equal parts and equal keys wherever a line stands.
     """
-    s = _Stream(texts)
+    s = _Stream(texts, LINE_MASK)
     e = np.empty(0, np.int64)
     none = e, e, e.astype(_U), e.astype(_U), np.zeros(1, np.int64), e.astype(_U)
     if not len(s.at):
