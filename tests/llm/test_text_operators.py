@@ -173,6 +173,17 @@ def test_mix_meets_quotas_and_caps(spark):
         ("```\n<h1>{{ title }}</h1>\n```\n" + "The long road follows a quiet river to the old town and its market. " * 6, None),
         ("When it answers with 404 the page not found notice is shown.\n" + "The long road follows a quiet river to the old town and its market. " * 6, None),
         ("# A title\n" + "Lorem ipsum dolor amet caldo verinus tellus sittum molite vadit. " * 9, "filler"),
+        # spoken of, in sentences of a tutorial
+        ("The long road follows a quiet river to the old town and its market. " * 60 + "\nIn a template you write {{ name }} and the engine puts the value there.", None),
+        ("The long road follows a quiet river to the old town and its market. " * 60 + "\nWhoever reads “[object Object]” knows at once that nobody looked at the page.", None),
+        # dense hits are no tutorial
+        ("In a template you write {{ name }}. You write {{ street }} too, in a template. In a template you write {{ town }}.", "placeholder"),
+        # beside words of templates, but left unfilled
+        ("The long road follows a quiet river to the old town and its template. " * 6 + "\nDear {{ name }}, the token of the market is here.", "placeholder"),
+        # sentences that stand in no list
+        ("# Ojdå 404\nHär fanns ingenting att hämta.", "notice"),
+        ("# Pahoittelut\nTapaus 99-A7712345", "notice"),
+        ("Valon nopeus kertoo paljon maailmasta jossa elämme, mutta harva huomaa kuinka hitaasti vanha virta kulkee rannalta toiselle kesäisin. " "Kylän väki kokoontui illalla torille kuuntelemaan pitkää puhetta kalastuksesta, metsistä sekä tulevan talven varastoista.", None),
         ("", None),
         (None, None),
     ],
@@ -181,6 +192,13 @@ def test_residue(text, reason):
     assert residue.judge(text) == reason
 
 
+def test_status_counts_only_beside_texts_without_prose():
+    assert residue.judge("# Pahoittelut\nJotain meni pieleen", 503) == "notice"
+    assert residue.judge("# Pahoittelut\nJotain meni pieleen", 200) is None
+    assert residue.judge("The long road follows a quiet river to the old town and its market. " * 6, 503) is None
+    assert residue.judge("| a | b |\n|---|---|\n| 1 | 2 |", 404) is None
+
+
 def test_residue_rows(spark):
     rows = [(1, "u", "Too many requests"), (1, "u", "Too many requests"), (2, "u", None), (3, "u", "A " * 50000)]
     assert {r["id"] for r in residue.residue(entries(spark, rows)).collect()} == {1}

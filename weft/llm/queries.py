@@ -83,7 +83,7 @@ def p4_found(spark, sf_dir):
 
 @LLM.add("p4_kept")
 def p4_kept(spark, sf_dir):
-    entries = latest_delivery(table(spark, sf_dir, "cache_entries").select("entry_id", "url", "content", "stored_at"), "entry_id", "stored_at")
+    entries = latest_delivery(table(spark, sf_dir, "cache_entries").select("entry_id", "url", "content", "status", "stored_at"), "entry_id", "stored_at")
     return residue.kept(entries).withColumnRenamed("id", "entry_id")
 
 

@@ -1,10 +1,15 @@
 """Problem 4: template residue, filler, error and access-check texts.
 
-Unfilled placeholders are found by one small grammar per delimiter. A hit counts only
-outside code (fences, indented blocks, back-ticked spans), because templates quoted in
-a tutorial are content. Filler, error, access-check, parked and scripts-required texts
-are judged by density: they are cases only where hardly any prose of the page's own
-stands beside them.
+Unfilled placeholders are found by one small grammar per delimiter, outside code (fences,
+indented blocks, back-ticked spans). What surrounds a hit tells whether it was left unfilled
+or is spoken of: quotation marks, a sentence that explains templates, a heading that names
+them, the same placeholder in the page's code. Where hits are dense they are no tutorial.
+
+Filler, error, access-check, parked and scripts-required texts are judged by density: they
+are cases only where hardly any prose of the page's own stands beside them. There, a known
+sentence shows one, and so does the shape of the page: a status or case number set apart in
+a short text, or a status that says the page failed. Filler is text without function words
+that draws on few words again and again.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weft.llm.common import batch, decode, map_arrow, pick
 
@@ -110,6 +116,31 @@ _FUNCTION_WORDS = frozenset(
 )
 
 
+#: Evidence from which a placeholder is spoken of, and characters of prose per hit below which hits are too dense for that.
+SPOKEN_OF, DENSE_CHARS = 2, 400
+#: Share of different words in filler: few words come again and again. Words from which it can be told.
+VARIETY, VARIETY_WORDS = 0.8, 24
+#: Characters up to which a text without prose may be a notice by its shape alone.
+SHAPE_CHARS = 800
+
+# What texts about templates say, by language: names of the thing, and phrases of explaining.
+_THING = re.compile(
+    r"\b(?:placeholders?|templat(?:es?|ing)|variables?|merge (?:tags?|fields?)|tags?|tokens?|syntax|delimiters?|braces|brackets|expressions?|interpolation|engines?|markup|snippets?"
+    r"|platzhaltern?|vorlagen?|klammern|variablen|gabarits?|modèles?|balises?|accolades|variables?|plantillas?|marcador(?:es)?|llaves|etiquetas?)\b",
+    re.I,
+)
+_EXPLAINS = re.compile(
+    r"\b(?:you (?:can |may |must |should |would )?(?:write|type|put|use|see|get|insert|add)|we (?:write|use|put)|is (?:written|replaced|called|rendered|written as|spelled)|are (?:written|replaced|called)|stands? for|means?|looks? like|such as"
+    r"|for (?:example|instance)|e\.g\.|i\.e\.|instead of|literal(?:ly)?|so-called|known as|refers? to|puts? the value|fills? in|wrap(?:ped|s)? in|between (?:double|curly)|unfilled|left (?:empty|unfilled)"
+    r"|schreibt man|steht für|bedeutet|zum beispiel|z\. ?b\.|wird ersetzt|heißt|on écrit|signifie|par exemple|remplacée? par|se escribe|significa|por ejemplo|se sustituye)\b",
+    re.I,
+)
+_QUOTES = "\"'“”„«»‹›‘’「」"
+_STATUS_LINE = re.compile(r"(?:\W*\w+\W+){0,3}\W*[45]\d\d\b.{0,60}", re.S)
+_CASE_LINE = re.compile(r"(?:[^\W\d_]+[ :#.]+){1,3}#?(?=[\w\-]*\d)[\w\-]{5,40}")
+_SENTENCE_END = re.compile(r"[.!?…]\s|\n")
+
+
 def outside_code(text: str) -> str:
     """The text without fenced blocks, indented code and back-ticked spans."""
     if "`" not in text and "~~~" not in text and "    " not in text and "\t" not in text:
@@ -126,8 +157,35 @@ def outside_code(text: str) -> str:
 
 
 def has_placeholder(text: str) -> bool:
-    """Whether an unfilled placeholder, or a value that was never filled in, stands in the text outside code."""
-    return any(m in text for m in _MARKS) and PLACEHOLDER.search(outside_code(text)) is not None
+    """Whether an unfilled placeholder, or a value that was never filled in, stands in the text outside code.
+
+    One that is only spoken of doesn't count, unless hits are dense.
+    """
+    if not any(m in text for m in _MARKS):
+        return False
+    bare = outside_code(text)
+    hits = list(PLACEHOLDER.finditer(bare))
+    if not hits:
+        return False
+    spoken = [_spoken_of(bare, m) for m in hits]
+    if not any(spoken):
+        return True
+    in_code = {x[0] for x in PLACEHOLDER.finditer(text)} if bare != text else set()
+    outside = {m[0] for m in hits}
+    headed = any(_THING.search(line) for line in bare.split("\n") if line.lstrip().startswith("#") and not PLACEHOLDER.search(line))
+    more = headed + bool(in_code - outside or any(text.count(x) > bare.count(x) for x in outside))
+    left = [m for m, n in zip(hits, spoken) if n + (more if n else 0) < SPOKEN_OF]
+    return bool(left) or len(bare) < DENSE_CHARS * (len(hits) - sum(n >= 3 for n in spoken))
+
+
+def _spoken_of(text: str, m: re.Match) -> int:
+    """Evidence that a placeholder is spoken of: its quotation marks, and what its sentence says."""
+    before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+    quoted = 3 * (bool(before) and bool(after) and before in _QUOTES and after in _QUOTES)
+    begin = max((x.end() for x in _SENTENCE_END.finditer(text, max(0, m.start() - 240), m.start())), default=max(0, m.start() - 240))
+    end = _SENTENCE_END.search(text, m.end(), m.end() + 240)
+    around = text[begin : m.start()] + " \x00 " + text[m.end() : end.start() if end else m.end() + 240]
+    return quoted + bool(_THING.search(around)) * bool(_EXPLAINS.search(around)) * 2
 
 
 def is_filler_paragraph(line: str) -> bool:
@@ -138,21 +196,27 @@ def is_filler_paragraph(line: str) -> bool:
     return sum(w not in _FUNCTION_WORDS for w in words) / len(words) > 0.97 and len(set(words)) > 4
 
 
-def judge(text: str | None) -> str | None:
-    """'placeholder', 'filler', 'notice' or None for real content, empty and null texts."""
+def judge(text: str | None, status: int | None = None) -> str | None:
+    """'placeholder', 'filler', 'notice' or None for real content, empty and null texts.
+
+    The status is evidence only beside a text without prose, as it may not match the text.
+    """
     if not text:
         return None
     if has_placeholder(text):
         return "placeholder"
     own = filler = notices = 0
-    fillers = False
-    for line in outside_code(text).split("\n"):
+    said: list[str] = []
+    fillers = shaped = other = False
+    bare_text = outside_code(text)
+    for line in bare_text.split("\n"):
         bare = _TAG.sub("", line)
         if not bare:
             continue
         if len(bare) >= PROSE_CHARS and bare.count(" ") >= PROSE_WORDS - 1:
             if is_filler_paragraph(bare):
                 filler += len(bare)
+                said.append(bare)
             elif len(bare) >= 150 or not NOTICE.fullmatch(bare):
                 own += len(bare)
             else:
@@ -164,29 +228,42 @@ def judge(text: str | None) -> str | None:
                 notices += 1
             elif is_filler_paragraph(bare):
                 filler += len(bare)
+                said.append(bare)
+            elif len(bare) <= 80 and (_STATUS_LINE.fullmatch(bare) or _CASE_LINE.fullmatch(bare)):
+                shaped = True
+            other = other or line.lstrip().startswith("|")
+    if said and not fillers:
+        words = [w for x in said for w in _WORD.findall(x.lower())]
+        if len(words) >= VARIETY_WORDS and len(set(words)) > VARIETY * len(words):  # a language that isn't known
+            own, filler = own + filler, 0
     if (fillers or filler > 80) and own <= max(OWN_PROSE, filler * (1 - FILLER_SHARE) / FILLER_SHARE):
         return "filler"
-    if notices and own <= OWN_PROSE:
+    if own <= OWN_PROSE and (notices or ((shaped or (status or 0) >= 400) and not other and bare_text == text and len(text) <= SHAPE_CHARS)):
         return "notice"
     return None
 
 
-def residue(df: DataFrame, id_col: str = "entry_id", content_col: str = "content", encoded: bool = True) -> DataFrame:
+def residue(df: DataFrame, id_col: str = "entry_id", content_col: str = "content", encoded: bool = True, status_col: str | None = "status") -> DataFrame:
     """(id, reason) of the rows whose text is residue; null, undecodable and empty texts give no row.
 
-    Row by row, without a shuffle; repeated rows give repeated results.
+    Row by row, without a shuffle; repeated rows give repeated results. A null status, or no
+    status column, is no evidence.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            got = [(k, r) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := judge(decode(c) if encoded else c))]
+            got = [(k, r) for k, c, s in zip(*(b.column(i).to_pylist() for i in range(3))) if (r := judge(decode(c) if encoded else c, s))]
             yield batch({"id": ([k for k, _ in got], b.schema.field(0).type), "reason": ([r for _, r in got], pa.string())})
 
-    return map_arrow(pick(df, id=id_col, content=content_col), run, f"id {kind}, reason string")
+    return map_arrow(pick(df, id=id_col, content=content_col, status=_status(df, status_col)), run, f"id {kind}, reason string")
+
+
+def _status(df: DataFrame, status_col: str | None):
+    return F.col(f"`{status_col}`").cast("int") if status_col and status_col in df.columns else F.lit(None).cast("int")
 
 
-def kept(df: DataFrame, id_col: str = "entry_id", url_col: str = "url", content_col: str = "content", encoded: bool = True) -> DataFrame:
+def kept(df: DataFrame, id_col: str = "entry_id", url_col: str = "url", content_col: str = "content", encoded: bool = True, status_col: str | None = "status") -> DataFrame:
     """(id, url, text) of the rows whose text is real content, judged and kept in one pass, without a join.
 
     Empty, null and undecodable texts are no residue and stay; repeated rows stay repeated.
@@ -196,8 +273,8 @@ def kept(df: DataFrame, id_col: str = "entry_id", url_col: str = "url", content_
     def run(batches):
         for b in batches:
             texts = [decode(c) if encoded else c for c in b.column(2).to_pylist()]
-            at = [i for i, t in enumerate(texts) if judge(t) is None]
+            at = [i for i, (t, s) in enumerate(zip(texts, b.column(3).to_pylist())) if judge(t, s) is None]
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array([texts[i] for i in at], pa.string())], names=["id", "url", "text"])
 
-    return map_arrow(pick(df, id=id_col, url=url_col, content=content_col), run, f"id {kind}, url string, text string")
+    return map_arrow(pick(df, id=id_col, url=url_col, content=content_col, status=_status(df, status_col)), run, f"id {kind}, url string, text string")
