@@ -85,3 +85,47 @@ def test_true_counts_decide_on_misread_words(spark):
     df = spark.createDataFrame(docs, "pdf_id bigint, content array<string>, title string")
     got = {r["id"] for r in scans.scan_noise(df).filter("kind = 'ocr'").collect()}
     assert got == set(range(250, 256))  # 6 against 250 is misread, 4 against 60 is not
+
+
+def _topics(spark, rng):
+    """Words of two topics; "clay" is a word of one, and a misread "day" in the other."""
+    one = [f"{a}{b}" for a in ("mor", "sun", "win", "fros", "clou") for b in ("ning", "tide", "mer", "shine", "gale")]
+    two = [f"{a}{b}" for a in ("pot", "kil", "gla", "bow", "jug") for b in ("tery", "nery", "zing", "lery", "gary")]
+    def say(topic, *w):
+        words = [rng.choice(topic) for _ in range(10 - len(w))]
+        at = 4
+        return " ".join([*words[:at], *w, *words[at:]])
+
+    rows = [(i, [say(one, "day") + "."], None) for i in range(400)] + [(1000 + i, [say(two) + "."], None) for i in range(400)]
+    rows += [(2000 + i, [say(two, "clay") + "."], None) for i in range(9)] + [(3000 + i, [say(one, "clay") + "."], None) for i in range(9)]
+    return spark.createDataFrame(rows, "pdf_id bigint, content array<string>, title string")
+
+
+def test_vectors_decide_on_misread_words(spark, monkeypatch):
+    df = _topics(spark, random.Random(17))
+    found = lambda: {r["id"] for r in scans.scan_noise(df).filter("kind = 'ocr'").collect()}
+    misread, own = set(range(3000, 3009)), set(range(2000, 2009))
+    got = found()
+    assert len(got & misread) >= 8 and len(got & own) <= 1 and got <= misread | own
+    learned = scans._vectors
+
+    def shuffled(*args):
+        names, rows = zip(*sorted(learned(*args).items()))
+        rows = list(rows)
+        random.Random(5).shuffle(rows)
+        return dict(zip(names, rows))
+
+    monkeypatch.setattr(scans, "_vectors", shuffled)
+    worse = found()
+    assert len(worse & misread) - len(worse & own) < len(got & misread) - len(got & own)
+
+
+def test_templates_need_no_share_of_all_documents(spark):
+    """A running footer of six documents is one however many others there are."""
+    rng = random.Random(18)
+    body = lambda: "\n".join(prose(rng, 9)[:-1] for _ in range(8))
+    rows = [(i, [f"{body()}\nHouse Notes for {'Qu' + 'aeiouy'[i] + 'lthor'}"], None) for i in range(6)]
+    rows += [(100 + i, [body()], None) for i in range(600)]
+    df = spark.createDataFrame(rows, "pdf_id bigint, content array<string>, title string")
+    got = {(r["id"], r["line_no"]) for r in scans.scan_noise(df).filter("kind = 'furniture'").collect()}
+    assert got == {(i, 9) for i in range(6)}

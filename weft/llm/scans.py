@@ -1,9 +1,13 @@
 """Problem 2: text of scanned pages repaired into continuous paragraphs.
 
-Skip-gram vectors are learned over the corpus, rare words are linked to frequent ones
-that plausible glyph edits turn them into, and the surrounding words' vectors choose
-among several. Then page furniture is cut off, words broken at line ends are joined,
-and lines flow into paragraphs. Counts and vectors cover all documents.
+Skip-gram vectors are learned over the corpus: pairs of words within a window are counted,
+and a word's vector projects its shifted mutual information with all others, the matrix that
+skip-grams with negative sampling factorise. Rare words are linked to frequent ones that
+plausible glyph edits turn them into. Each link is judged where the word stands: how
+much more frequent the other word is, and whether the words around it are such as stand
+around that word (or around any word), by the similarities that both have in the corpus.
+Then page furniture is cut off, words broken at line ends are joined, and lines flow into
+paragraphs. Counts, vectors and similarities cover all documents.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Word2Vec
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +29,16 @@ from weft.plans.staging import stage
 
 #: A word is known from this count on.
 LEAST_COUNT = 5
-#: How many times as frequent as a word its correction must be.
+#: How many times as frequent as a word its correction must be if the words around tell nothing.
 DOMINANCE = 20
-#: Documents (and their share) in whose page edges a template must recur; share of all words from which a word may be a fixed one of a template.
-TEMPLATE_DOCS, TEMPLATE_SHARE, TEMPLATE_WORDS = 4, 0.01, 5e-6
-DIMENSIONS, WINDOW = 24, 4
+#: Log odds that the words around can add against a correction and in favour of it.
+AGAINST, IN_FAVOUR = 3.0, 1.5
+#: Documents in whose page edges a template must recur, and how many of the lines of that form must stand there.
+TEMPLATE_DOCS, TEMPLATE_EDGE = 4, 0.5
+#: Counts from which a word may be a fixed one of a template; names may be as frequent as the first.
+TEMPLATE_COUNTS = (5, 16)
+#: Words to each side that form skip-gram pairs, the times that a pair must come, and dimensions (bits of a hash).
+WINDOW, PAIR_COUNT, DIMENSIONS = 4, 2, 64
 HYPHENS = "-­‐¬"
 
 # What a scanner reads, and what may have been printed.
@@ -80,16 +89,53 @@ def words_of(pages: list[str]) -> Counter:
     return out
 
 
+class Context:
+    """Whether words stand around a word as they do around another: similarities in the corpus, true and by chance.
+
+    ``true`` and ``chance`` are (mean, deviation) of the similarity between a word's vector and
+    the words around it, and around other words.
+    """
+
+    def __init__(self, vectors: dict[str, np.ndarray], true: tuple[float, float] = (0.0, 1.0), chance: tuple[float, float] = (0.0, 1.0)) -> None:
+        self.vectors, self.true, self.chance = vectors, true, chance
+        self._signs: dict[str, np.ndarray] = {}
+
+    def odds(self, v: str, around: list[str]) -> float:
+        """Log odds that ``v`` was printed among these words against any other word; 0 where nothing is known."""
+        own = self.vectors.get(v)
+        near = [x for x in around if x in self.vectors]
+        if own is None or len(near) < 2:
+            return 0.0
+        total = np.zeros(DIMENSIONS, np.float32)
+        for x in near:
+            if x not in self._signs:
+                self._signs[x] = signs([x])[0]
+            total += self._signs[x]
+        (m1, d1), (m0, d0) = self.true, self.chance
+        x = float(np.dot(total, own)) / float(np.linalg.norm(total) or 1.0)
+        x = min(max(x, m0 - d0), m1 + d1)  # beyond, the tails of the two say nothing
+        odds = math.log(d0 / d1) + (x - m0) ** 2 / (2 * d0 * d0) - (x - m1) ** 2 / (2 * d1 * d1)
+        return min(max(odds, -AGAINST), IN_FAVOUR)
+
+
+def signs(words: list[str]) -> np.ndarray:
+    """The axes that words project onto: 64 signs of their hashes, so that different words are nearly orthogonal."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], "<u8")
+    return np.unpackbits(h.view(np.uint8).reshape(len(words), 8), axis=1).astype(np.float32) * 2 - 1
+
+
 class Lexicon:
-    """Known words, the counts of rarer ones that come more than once, vectors, and corrections (kept per worker)."""
+    """Known words, the counts of rarer ones that come more than once, contexts, and corrections (kept per worker)."""
 
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], templates: frozenset[str] = frozenset(), rare: dict[str, int] | None = None, fixed: int = LEAST_COUNT) -> None:
-        self.counts, self.vectors, self.templates, self.rare, self.fixed = counts, vectors, templates, rare or {}, fixed
+    def __init__(self, counts: dict[str, int], context: Context | None = None, templates: frozenset[str] = frozenset(), rare: dict[str, int] | None = None) -> None:
+        self.counts, self.context, self.templates, self.rare = counts, context or Context({}), templates, rare or {}
+        self.most = max(counts.values(), default=0)
         self._candidates: dict[str, tuple[str, ...]] = {}
+        self._tokens: dict[str, tuple[str, bool, bool]] = {}
         self._shapes = None
 
     def __getstate__(self):
-        return self.counts, self.vectors, self.templates, self.rare, self.fixed
+        return self.counts, self.context, self.templates, self.rare
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -98,61 +144,78 @@ class Lexicon:
         """How often a word comes, 1 at least."""
         return self.counts.get(w) or self.rare.get(w, 1)
 
+    def token(self, token: str) -> tuple[str, bool, bool]:
+        """(word, whether it may be misread, whether it may be a part of a word) of a token as it stands."""
+        got = self._tokens.get(token)
+        if got is None:
+            w = bare(token)
+            judged = bool(w) and not w.isdigit() and (bool(self.linked(w)) or (w not in self.counts and _odd_glyphs(token.strip(_EDGE))))
+            got = w, judged, w.isalpha() and DOMINANCE * self.times(w) <= self.most
+            if len(self._tokens) < 400_000:
+                self._tokens[token] = got
+        return got
+
     def candidates(self, w: str) -> tuple[str, ...]:
-        """Frequent words that one or two plausible glyph edits make of ``w`` and that are much more frequent."""
+        """More frequent words that one or two plausible glyph edits make of ``w``; how much more, the words around decide."""
         got = self._candidates.get(w)
         if got is None:
-            need = DOMINANCE * self.times(w)
+            need = DOMINANCE * math.exp(-IN_FAVOUR) * self.times(w)
             first = _edits(w)
             got = tuple(sorted({v for v in first if self.counts.get(v, 0) >= need}))
             if not got and 4 <= len(w) <= 24:
+                need = DOMINANCE * self.times(w)
                 got = tuple(sorted({v for f in first for v in _edits(f) if self.counts.get(v, 0) >= need and v != w}))
             if len(self._candidates) < 200_000:
                 self._candidates[w] = got
         return got
 
+    def linked(self, w: str) -> tuple[str, ...]:
+        """What ``w`` may have been printed as, whatever stands around it."""
+        if len(w) < 2 or (_NUMERIC.fullmatch(w) and w not in ("i", "c")):
+            return ()
+        parts = w.split("-") if "-" in w and w not in self.counts else ()
+        return self.candidates(w) or tuple(c for p in parts for c in self.linked(p))
+
     def correct(self, w: str, around: list[str] = ()) -> str | None:
-        """The word that ``w`` was most likely printed as, None if it is fine as it is."""
+        """The word that ``w`` was most likely printed as among these words, None if it is fine as it is."""
         if len(w) < 2 or (_NUMERIC.fullmatch(w) and w not in ("i", "c")):
             return None
         found = self.candidates(w)
         if not found:
             if "-" in w and w not in self.counts:
-                parts = [(p, self.correct(p)) for p in w.split("-")]
+                parts = [(p, self.correct(p, around)) for p in w.split("-")]
                 whole = "-".join(c or p for p, c in parts)
                 return whole if any(c for _, c in parts) else None
             return None
-        if len(found) == 1:
-            return found[0]
-        near = [self.vectors[x] for x in around if x in self.vectors]
-        if near:
-            mean = np.mean(near, axis=0)
-            scored = [(float(np.dot(mean, self.vectors[v])) if v in self.vectors else -1.0, self.counts[v], v) for v in found]
-        else:
-            scored = [(0.0, self.counts[v], v) for v in found]
-        return max(scored)[2]
-
-    def mask(self, text: str) -> str:
-        """A line's template: words kept, names and numbers not."""
-        out = []
+        own = math.log(DOMINANCE * self.times(w))
+        odds, _, best = max((math.log(self.counts[v]) - own + self.context.odds(v, around), self.counts[v], v) for v in found)
+        return best if odds >= 0 else None
+
+    def masks(self, text: str) -> list[str]:
+        """A line's templates: words kept, names and numbers not; one for each count from which a word is kept."""
+        out = [[] for _ in TEMPLATE_COUNTS]
         for t in text.split():
-            w = bare(t)
+            w = self.token(t)[0]
             if not w:
                 continue
-            if self.times(w) < self.fixed:
+            n = self.times(w)
+            if n < TEMPLATE_COUNTS[-1]:
                 w = (None if _number(w) is not None and any(c.isdigit() for c in w) else self.correct(w)) or w
-            out.append("0" if any(c.isdigit() for c in w) and _number(w) is not None else w if self.times(w) >= self.fixed else "@")
-        return " ".join(out)
+                n = self.times(w)
+            number = any(c.isdigit() for c in w) and _number(w) is not None
+            for kept, least in zip(out, TEMPLATE_COUNTS):
+                kept.append("0" if number else w if n >= least else "@")
+        return list(dict.fromkeys(" ".join(x) for x in out))
 
     def is_template(self, text: str) -> bool:
         if not self.templates:
             return False
-        key = self.mask(text)
-        if key in self.templates:
-            return True
-        words = key.split()  # a name may be frequent itself
-        if any(" ".join([*words[:i], "@", *words[i + 1 :]]) in self.templates for i in range(len(words))):
-            return True
+        for key in self.masks(text):
+            if key in self.templates:
+                return True
+            words = key.split()  # a name may be more frequent than that
+            if any(" ".join([*words[:i], "@", *words[i + 1 :]]) in self.templates for i in range(len(words))):
+                return True
         if self._shapes is None:
             shapes = []
             for t in self.templates:
@@ -296,7 +359,8 @@ def repair(contents: list[str | None], title: str | None, lexicon: Lexicon) -> t
             continue
         at_page_edge = p
         bad = False
-        plain_words = [bare(t) for t in tokens]
+        told = [lexicon.token(t) for t in tokens]
+        plain_words = [x[0] for x in told]
         first = 0
         if carried is not None:
             first = 1  # judged with the line before
@@ -312,17 +376,17 @@ def repair(contents: list[str | None], title: str | None, lexicon: Lexicon) -> t
             if joint[1]:
                 found.append((p + 1, i + 1, "hyphen"))
         for t in range(first, last):
-            w = plain_words[t]
+            w, judged, part = told[t]
             fixed = None
-            if w and not w.isdigit():
-                around = plain_words[max(0, t - WINDOW) : t] + plain_words[t + 1 : t + 1 + WINDOW]
-                fixed = lexicon.correct(w, around)
+            if judged:
+                fixed = lexicon.correct(w, plain_words[max(0, t - WINDOW) : t] + plain_words[t + 1 : t + 1 + WINDOW])
                 if fixed is None and w not in counts and _odd_glyphs(tokens[t].strip(_EDGE)):
                     bad = True
-                if fixed is None and t + 1 < last and w.isalpha():
-                    whole, after = counts.get(w + plain_words[t + 1], 0), plain_words[t + 1]
-                    if whole >= DOMINANCE and (w not in counts and after not in counts or whole >= DOMINANCE * max(lexicon.times(w), lexicon.times(after))):
-                        bad = True
+            if fixed is None and part and t + 1 < last and told[t + 1][2]:
+                after = plain_words[t + 1]
+                whole = counts.get(w + after, 0)
+                if whole >= DOMINANCE and (w not in counts and after not in counts or whole >= DOMINANCE * max(lexicon.times(w), lexicon.times(after))):
+                    bad = True
             if fixed:
                 bad = True
                 text.append(_as(tokens[t], w, fixed))
@@ -399,7 +463,7 @@ def _as(token: str, w: str, fixed: str) -> str:
 
 
 def learn(docs: DataFrame) -> Lexicon:
-    """A lexicon of (id, title, pages): counts, vectors and templates over all documents."""
+    """A lexicon of (id, title, pages): counts, vectors, contexts and templates over all documents."""
 
     def counted(batches):
         for b in batches:
@@ -412,37 +476,129 @@ def learn(docs: DataFrame) -> Lexicon:
     several = {r["word"]: r["n"] for r in words.filter("n > 1").collect()}  # all that come once count 1 without being listed
     counts = {w: n for w, n in several.items() if n >= LEAST_COUNT}
     rare = {w: n for w, n in several.items() if n < LEAST_COUNT}
-    vectors: dict[str, np.ndarray] = {}
-    sentences = None
-    if counts:
-        sentences = docs.select(F.explode("pages").alias("page")).select(F.split(F.lower("page"), r"[^\p{L}\p{N}\-']+").alias("tokens")).filter(F.size("tokens") > 1)
-    if sentences is not None and not sentences.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= LEAST_COUNT).isEmpty():
-        slots = max(1, min(64, docs.sparkSession.sparkContext.defaultParallelism))
-        model = Word2Vec(vectorSize=DIMENSIONS, windowSize=WINDOW, minCount=LEAST_COUNT, maxIter=1, numPartitions=slots, seed=11, inputCol="tokens", outputCol="v").fit(sentences)
-        vectors = {r["word"]: _unit(np.array(r["vector"].toArray(), np.float32)) for r in model.getVectors().collect()}
-    fixed = max(LEAST_COUNT, math.ceil((words.agg(F.sum("n")).first()[0] or 0) * TEMPLATE_WORDS))
-    lexicon = Lexicon(counts, vectors, rare=rare, fixed=fixed)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    context = contexts(docs, _vectors(docs, counts)) if counts else Context({})
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(counts, context, rare=rare))
 
     def edges(batches):
         lex = shared.value
         for b in batches:
-            keys: Counter = Counter()
+            at_edge: Counter = Counter()
+            inside: Counter = Counter()
             for pages in b.column(0).to_pylist():
-                own = set()
+                own: set[str] = set()
                 for page in pages or ():
                     filled = [l for l in (page or "").split("\n") if l.strip()]
                     for l in filled[:2] + filled[-2:]:
                         _, rest = split_edge(l)
                         if _running(rest):
-                            own.add(lex.mask(rest))
-                keys.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.string()), pa.array(list(keys.values()), pa.int64())], names=["template", "n"])
-
-    n_docs = docs.count()
-    often = map_arrow(docs.select("pages"), edges, "template string, n bigint").groupBy("template").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(TEMPLATE_DOCS, math.ceil(n_docs * TEMPLATE_SHARE)))
+                            own.update(lex.masks(rest))
+                    for l in filled[2:-2]:
+                        if _running(l.strip()):
+                            inside.update(lex.masks(l))
+                at_edge.update(own)
+            # lines inside of pages are counted by their names' hashes alone
+            keys = list(at_edge.keys() | inside.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_hash(k) for k in keys], pa.int64()), pa.array([k if k in at_edge else None for k in keys], pa.string()), pa.array([at_edge[k] for k in keys], pa.int64()), pa.array([inside[k] for k in keys], pa.int64())],
+                names=["h", "template", "n", "inside"],
+            )
+
+    seen = map_arrow(docs.select("pages"), edges, "h bigint, template string, n bigint, inside bigint").groupBy("h").agg(F.max("template").alias("template"), F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    often = seen.filter((F.col("n") >= TEMPLATE_DOCS) & (F.col("n") >= TEMPLATE_EDGE * (F.col("n") + F.col("inside"))))
     kept = frozenset(r["template"] for r in often.collect() if set(r["template"].split()) - {"@", "0"})
-    return Lexicon(counts, vectors, kept, rare, fixed)
+    return Lexicon(counts, context, kept, rare)
+
+
+def _hash(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
+
+
+def _known(pages, get) -> list[np.ndarray]:
+    """Per page the numbers of its known words in order."""
+    return [np.array([i for t in _TOKEN.findall(page or "") if (i := get(bare(t))) is not None], np.int64) for page in pages or ()]
+
+
+def _vectors(docs: DataFrame, counts: dict[str, int]) -> dict[str, np.ndarray]:
+    """Skip-gram vectors of length 1 of the known words: their pairs' mutual information, where positive, along the pairs' axes.
+
+    Pairs are counted within batches, then over all documents; a word's pairs meet in one
+    task, at most as many as there are words.
+    """
+    names = sorted(counts)
+    size = len(names)
+    shared = docs.sparkSession.sparkContext.broadcast((names, np.array([counts[w] for w in names], float)))
+
+    def pairs(batches):
+        get = {w: i for i, w in enumerate(shared.value[0])}.get
+        for b in batches:
+            codes = []
+            for pages in b.column(0).to_pylist():
+                for own in _known(pages, get):
+                    for d in range(1, WINDOW + 1):
+                        codes += [own[:-d] * size + own[d:], own[d:] * size + own[:-d]]
+            both, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array((both // size).astype(np.int32)), pa.array((both % size).astype(np.int32)), pa.array(n.astype(np.int64))], names=["w", "c", "n"])
+
+    def project(batches):
+        names, times = shared.value
+        axes, total = signs(names), times.sum()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w, c, n = (b.column(k).to_numpy() for k in range(3))
+            about = np.maximum(np.log(n * total / (times[w] * times[c] * 2 * WINDOW)), 0).astype(np.float32)
+            at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            sums = np.add.reduceat(axes[c] * about[:, None], at, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(list(sums), pa.list_(pa.float32()))], names=["w", "v"])
+
+    counted = map_arrow(docs.select("pages"), pairs, "w int, c int, n bigint").groupBy("w", "c").agg(F.sum("n").alias("n")).filter(F.col("n") >= PAIR_COUNT)
+    out: dict[str, np.ndarray] = {}
+    for r in map_arrow(counted.repartition("w").sortWithinPartitions("w", "c"), project, "w int, v array<float>").collect():  # a row a word, few more
+        out[names[r["w"]]] = out.get(names[r["w"]], 0) + np.array(r["v"], np.float32)
+    return {w: _unit(v) for w, v in out.items()}
+
+
+def contexts(docs: DataFrame, vectors: dict[str, np.ndarray]) -> Context:
+    """How similar words are to what stands around them, and to what stands around any word, over all documents.
+
+    What chance gives follows from the first and second moments of both sides, whatever the order of the documents.
+    """
+    names = sorted(vectors)
+    if len(names) < 2:
+        return Context(vectors)
+    shared = docs.sparkSession.sparkContext.broadcast((names, np.stack([vectors[w] for w in names])))
+    d = DIMENSIONS
+
+    def run(batches):
+        names, rows = shared.value
+        get, axes = {w: i for i, w in enumerate(names)}.get, signs(names)
+        total = np.zeros(3 + 2 * d + 2 * d * d)
+        for b in batches:
+            for pages in b.column(0).to_pylist():
+                for own in _known(pages, get):
+                    if len(own) < 3:
+                        continue
+                    v, x = rows[own], axes[own]
+                    sums = np.concatenate([np.zeros((1, d), np.float32), np.cumsum(x, axis=0)])
+                    at = np.arange(len(own))
+                    near = sums[np.minimum(at + WINDOW + 1, len(own))] - sums[np.maximum(at - WINDOW, 0)] - x
+                    near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
+                    y = (near * v).sum(1)
+                    total += np.concatenate([[len(y), y.sum(), (y * y).sum()], near.sum(0), v.sum(0), (near.T @ near).ravel(), (v.T @ v).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "x"])
+
+    got = map_arrow(docs.select("pages"), run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    t = np.zeros(3 + 2 * d + 2 * d * d)
+    for r in got:
+        t[r["at"]] = r["x"]
+    n, mean, square = t[0], *(t[1:3] / max(t[0], 1.0))
+    if n < 2:
+        return Context(vectors)
+    near, own = t[3 : 3 + d] / n, t[3 + d : 3 + 2 * d] / n
+    by_chance = float(near @ own)
+    chance_square = float(((t[3 + 2 * d : 3 + 2 * d + d * d] / n) * (t[3 + 2 * d + d * d :] / n)).sum())
+    spread = lambda m, s: (float(m), max(1e-3, float(s - m * m)) ** 0.5)
+    return Context(vectors, spread(mean, square), spread(by_chance, chance_square))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
