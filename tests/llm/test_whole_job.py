@@ -129,3 +129,26 @@ def test_templates_need_no_share_of_all_documents(spark):
     df = spark.createDataFrame(rows, "pdf_id bigint, content array<string>, title string")
     got = {(r["id"], r["line_no"]) for r in scans.scan_noise(df).filter("kind = 'furniture'").collect()}
     assert got == {(i, 9) for i in range(6)}
+
+
+def test_lists_hang_on_headings_of_any_words(spark):
+    """The heading of a list of other pages is known by what it does, not by its words."""
+    rng = random.Random(23)
+    rows = []
+    for i in range(16):
+        site = ["donmo", "klaxo"][i % 2]
+        others = "\n".join(f"- {prose(rng, 4)[:-1]}" for _ in range(3))
+        text = f"# {prose(rng, 5)[:-1]}\n\nThe {prose(rng, 40)[:-1]} of the day.\n\n## Zubrik vorma\n{others}\n\nQuendo alar pistu"
+        rows.append((i, f"https://{site}.example/p{i}", text))
+    got = {tuple(r) for r in furniture.furniture(entries(spark, rows)).collect()}
+    assert got == {(i, n) for i in range(16) for n in (5, 6, 7, 8, 10)}
+
+
+def test_long_lines_are_masked_as_short_ones(spark):
+    rng = random.Random(24)
+    rows = []
+    for i in range(44):
+        site = ["donmo", "klaxo", "virem", "plasto"][i % 4]
+        text = f"# {prose(rng, 5)[:-1]}\n\nThe {prose(rng, 40)[:-1]} of the day.\n\n© {2001 + i} {site.capitalize()}: " + "whoever copies these pages in whole or in part without having asked for it in writing does so at a risk of their own. " * 3
+        rows.append((i, f"https://{site}.example/p{i}", text))
+    assert {tuple(r) for r in furniture.furniture(entries(spark, rows)).collect()} == {(i, 5) for i in range(44)}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import decode, map_arrow, pick
-from weft.llm.residue import FILLER, NOTICE, PROSE_CHARS, PROSE_WORDS, is_filler_paragraph
+from weft.llm.residue import FILLER, FUNCTION_WORDS, NOTICE, PROSE_CHARS, PROSE_WORDS, is_filler_paragraph
 from weft.plans.staging import stage
 from weft.sources.tables import site_of
 
@@ -36,13 +36,9 @@ LONG_CHARS = 130
 #: Share of a menu's labels that must be known.
 MENU_SHARE = 0.6
 
-# What heads a list of other pages, by language ("@" is the host's name).
-RELATED = re.compile(
-    r"you (?:may|might) also (?:like|enjoy)|related (?:reading|articles|posts|pages|stories|content)|most (?:viewed|read|popular)(?: this week| today| now)?|more (?:from|on|about) .{1,40}|elsewhere on .{1,40}|read (?:next|more|also)|see also|recommended(?: for you)?|trending(?: now)?|latest (?:from|on) .{1,40}|keep reading|popular (?:posts|pages|now)|editor s picks"
-    r"|lo más (?:leído|visto)|también le puede interesar|más (?:de|en|sobre) .{1,40}|le puede interesar|artículos relacionados|lea también|seguir leyendo"
-    r"|à lire (?:aussi|ensuite|également)|les plus (?:lus|vus)|encore plus sur .{1,40}|plus (?:sur|de) .{1,40}|sur le même sujet|articles (?:liés|similaires)|vous aimerez aussi"
-    r"|meistgelesen|am meisten gelesen|mehr (?:von|auf|aus|zu) .{1,40}|das könnte sie (?:auch )?interessieren|auch (?:interessant|lesenswert)|lesen sie auch|weitere (?:artikel|beiträge|texte)(?: .{1,40})?|verwandte (?:artikel|themen)",
-)
+#: Share of a heading's articles on which items follow it, and of different first items among these, from which it heads a list.
+HEADS_SHARE, HEADS_VARIETY = 0.8, 0.75
+
 _LABELS = re.compile(r"\s*[|·›»•—]+\s*|\s{2,}|\]\([^)]*\)\s*\[?")
 _MARK = re.compile(r"^(?:[#>*•\-–_\s]+|\d+\.\s)+|[*_\s]+$")
 _LINK = re.compile(r"\[([^\]\n]*)\]\([^)\n]*\)")
@@ -53,7 +49,7 @@ _SERIES = re.compile(r"(?:part|teil|partie|parte) (?:\d+ )?(?:of|der|die|de|du|d
 _GENERIC_HOST = frozenset("blog docs news shop help wiki info forum mail portal support static media data site home page example test".split())
 
 BLANK, PROSE, HEADING, ITEM, BLOCK, SHORT = range(6)
-_TITLE, _BYLINE, _NOTICE, _RELATED, _SLOGAN, _LINKED = 8, 16, 32, 64, 128, 256
+_TITLE, _BYLINE, _NOTICE, _LINKED = 8, 16, 32, 256
 
 
 def brands(site: str) -> list[str]:
@@ -74,8 +70,17 @@ def _h(s: str, row: int = 0) -> int:
     return (xxhash.xxh3_64_intdigest(s) >> 2 << 2 | row) - (1 << 63)
 
 
+def form(key: str) -> str:
+    """A line's words of grammar in their places, others masked."""
+    return " ".join(w if w == "@" or w in FUNCTION_WORDS else "*" for w in key.split())
+
+
 def page_tree(text: str, site: str):
-    """(hash of the article's title or None, hash of its paragraphs or None, line hashes, line features, label hashes, label owners)."""
+    """(hash of the article's title or None, hash of its paragraphs or None, line hashes, line features, label hashes, label owners, heads, firsts).
+
+    Labels are parts of menu lines and forms of lines; a form's owner is -1 minus its line. ``heads`` are
+    the hashes of lines that items follow, ``firsts`` the hashes of the first of these.
+    """
     names = brands(site)
     keys: list[int] = []
     feats: list[int] = []
@@ -105,7 +110,7 @@ def page_tree(text: str, site: str):
             continue
         spaces = bare.count(" ")
         if n >= PROSE_CHARS and spaces >= PROSE_WORDS - 1:
-            keys.append(_h(bare.lower() if n >= 240 else masked(bare, names), 2 if n >= LONG_CHARS else 0))
+            keys.append(_h(masked(bare, names), 2 if n >= LONG_CHARS else 0))
             feats.append(PROSE)
             if n >= 140 and not is_filler_paragraph(bare):
                 prose_chars += n
@@ -126,11 +131,10 @@ def page_tree(text: str, site: str):
             f |= _BYLINE
         if NOTICE.fullmatch(bare) or FILLER.fullmatch(bare):
             f |= _NOTICE
-        if RELATED.fullmatch(key):
-            f |= _RELATED
-        if key.startswith("@ ") and bare[-1] not in ".!?" and n <= 80 and "," in bare:
-            f |= _SLOGAN
         feats.append(f)
+        if key.startswith("@ ") and n <= LONG_CHARS and f & 7 == SHORT and key.count(" ") >= 2:
+            labels.append(_h("form " + form(key)))
+            owners.append(-1 - i)
         parts = [p for p in _LABELS.split(bare.strip("[]")) if p]
         if len(parts) >= 2 and all(len(p) <= 32 and p.count(" ") <= 3 for p in parts):
             for p in parts:
@@ -146,17 +150,50 @@ def page_tree(text: str, site: str):
             at -= 1
         sig = _h(_SPACES.sub(" ", _LINK.sub(r"\1", bares[at]).lower()) if at >= 0 else bares[first_prose][:80].lower())
         body = _h(",".join(map(str, prose)))
-    return sig, body, keys, feats, labels, owners
+    heads, firsts = [], []
+    none = [False] * len(keys)
+    for i, f in enumerate(feats):
+        if f & 7 in (HEADING, ITEM, SHORT) and not f & _BYLINE:
+            at = items_under(feats, none, i)
+            if at:
+                heads.append(keys[i])
+                firsts.append(keys[at[0]])
+    return sig, body, keys, feats, labels, owners, heads, firsts
+
+
+def items_under(feats: list[int], out: list[bool], i: int) -> list[int]:
+    """The lines of a list that hangs on line ``i``: lines that read like titles, up to what is furniture of its own,
+    text, or a blank line behind which no list item goes on."""
+    n, j, found = len(feats), i + 1, []
+    while j < n:
+        f = feats[j]
+        if f & 7 == BLANK:
+            k = j
+            while k < n and feats[k] & 7 == BLANK:
+                k += 1
+            if k == n or not (feats[k] & _TITLE) or out[k]:
+                break
+            if found and not (feats[k] & 7 == ITEM or feats[k] & _LINKED):
+                break
+            j = k
+            continue
+        if out[j] or f & _BYLINE or f & 7 in (PROSE, BLOCK, HEADING) or not f & _TITLE:
+            break
+        if f & 7 == SHORT and not f & _LINKED and _heads_text(feats, out, j):
+            break
+        found.append(j)
+        j += 1
+    return found
 
 
 def trees(df: DataFrame, id_col: str, url_col: str, content_col: str, encoded: bool) -> DataFrame:
-    """One narrow row per page: (id, host, sig, body, keys, feats, labels, owners)."""
+    """One narrow row per page: (id, host, sig, body, keys, feats, labels, owners, heads, firsts)."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             ids, hosts = b.column(0), b.column(1).to_pylist()
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(9)]
             rows: list[int] = []
             for i, (host, content) in enumerate(zip(hosts, b.column(2).to_pylist())):
                 text = decode(content) if encoded else content
@@ -167,12 +204,12 @@ def trees(df: DataFrame, id_col: str, url_col: str, content_col: str, encoded: b
                     c.append(v)
             ints, shorts = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), ints, shorts, ints, shorts)))],
-                names=["id", "host", "sig", "body", "keys", "feats", "labels", "owners"],
+                [ids.take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), ints, shorts, ints, shorts, ints, ints)))],
+                names=["id", "host", "sig", "body", "keys", "feats", "labels", "owners", "heads", "firsts"],
             )
 
     narrow = pick(df, id=id_col, url=url_col, content=content_col).filter("id is not null and content is not null").select("id", site_of("url").alias("host"), "content")
-    return map_arrow(narrow, run, f"id {kind}, host bigint, sig bigint, body bigint, keys array<bigint>, feats array<int>, labels array<bigint>, owners array<int>")
+    return map_arrow(narrow, run, f"id {kind}, host bigint, sig bigint, body bigint, keys array<bigint>, feats array<int>, labels array<bigint>, owners array<int>, heads array<bigint>, firsts array<bigint>")
 
 
 def recurring(pages: DataFrame) -> DataFrame:
@@ -204,7 +241,20 @@ def recurring(pages: DataFrame) -> DataFrame:
     return own.unionByName(over_all)
 
 
-def decide(keys: list[int], feats: list[int], labels: list[int], owners: list[int], known: set[int]) -> list[int]:
+def heading(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(key): recurring lines under which, on most of their articles, items stand that differ from article to article.
+
+    Lines with items are few on a page; articles count once, with the first items they show.
+    """
+    wide = pages.filter("sig is not null")
+    led = wide.select("sig", F.explode(F.arrays_zip("heads", "firsts")).alias("h")).select("sig", F.col("h.heads").alias("key"), F.col("h.firsts").alias("first"))
+    recurring_keys = known.select("key").distinct()
+    led = led.join(recurring_keys, "key", "left_semi").groupBy("key").agg(F.count_distinct("sig").alias("led"), F.count_distinct("first").alias("firsts"))
+    shown = wide.select("sig", F.explode(F.array_distinct("keys")).alias("key")).join(led.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("sig").alias("shown"))
+    return led.join(shown, "key").filter((F.col("led") >= HEADS_SHARE * F.col("shown")) & (F.col("firsts") >= HEADS_VARIETY * F.col("led")) & (F.col("firsts") > 1)).select("key")
+
+
+def decide(keys: list[int], feats: list[int], labels: list[int], owners: list[int], known: set[int], heads: set[int]) -> list[int]:
     """Numbers (from 1) of the furniture lines of one page."""
     n = len(keys)
     out = [False] * n
@@ -215,39 +265,19 @@ def decide(keys: list[int], feats: list[int], labels: list[int], owners: list[in
         met[i] = met.get(i, 0) + (k in known)
     for i in range(n):
         f = feats[i]
-        kind = f & 7
-        if kind in (BLANK, BLOCK) or f & (_BYLINE | _NOTICE) and not f & _RELATED:
+        if f & 7 in (BLANK, BLOCK) or (f & (_BYLINE | _NOTICE) and keys[i] not in heads):
             continue
-        out[i] = keys[i] in known or (i in total and total[i] >= 2 and met[i] >= MENU_SHARE * total[i]) or bool(f & (_RELATED | _SLOGAN))
+        out[i] = keys[i] in known or (total.get(i, 0) >= 2 and met[i] >= MENU_SHARE * total[i]) or met.get(-1 - i, 0) > 0
     i = 0
     while i < n:
-        if not (out[i] and feats[i] & _RELATED):
+        if not (out[i] and keys[i] in heads):
             i += 1
             continue
-        j, last, items = i + 1, i, 0
-        while j < n:
-            f = feats[j]
-            if f & 7 == BLANK:
-                # a blank line ends a list that has items, unless list items go on behind it
-                k = j
-                while k < n and feats[k] & 7 == BLANK:
-                    k += 1
-                if k == n or not (feats[k] & _TITLE) or out[k]:
-                    break
-                if items and not (feats[k] & 7 == ITEM or feats[k] & _LINKED):
-                    break
-                j = k
-                continue
-            if out[j] or f & _BYLINE or f & 7 in (PROSE, BLOCK, HEADING) or not f & _TITLE:
-                break
-            if f & 7 == SHORT and not f & _LINKED and _heads_text(feats, out, j):
-                break
-            items, last = items + 1, j
-            j += 1
-        for k in range(i + 1, last + 1):
+        items = items_under(feats, out, i)
+        for k in range(i + 1, items[-1] + 1 if items else i + 1):
             if feats[k] & 7 != BLANK:
                 out[k] = True
-        i = max(j, i + 1)
+        i = max(items[-1] if items else i, i) + 1
     return [i + 1 for i in range(n) if out[i]]
 
 
@@ -268,18 +298,20 @@ def furniture(df: DataFrame, id_col: str = "entry_id", url_col: str = "url", con
     """
     kind = df.schema[id_col].dataType.simpleString()
     pages = stage(trees(df, id_col, url_col, content_col, encoded), "trees")
-    known = recurring(pages)
+    known = stage(recurring(pages), "known")
+    heads = heading(pages, known).withColumn("head", F.lit(True))
     subtree = pages.select("id", "host", F.explode(F.array_distinct(F.filter(F.concat("keys", "labels"), lambda k: k != 0))).alias("key"))
     over_all, own = known.filter("host is null").select("key"), known.filter("host is not null")
-    hits = subtree.join(over_all, "key", "left_semi").select("id", "key").unionByName(subtree.join(own, ["key", "host"], "left_semi").select("id", "key"))
-    of_page = hits.groupBy("id").agg(F.collect_set("key").alias("known"))
-    joined = pages.select("id", "keys", "feats", "labels", "owners").join(of_page, "id", "left")
+    of_host = own.join(heads, "key", "left")
+    hits = subtree.join(over_all.join(heads, "key", "left"), "key").select("id", "key", "head").unionByName(subtree.join(of_host, ["key", "host"]).select("id", "key", "head"))
+    of_page = hits.groupBy("id").agg(F.collect_set("key").alias("known"), F.collect_set(F.when(F.col("head"), F.col("key"))).alias("heads"))
+    joined = pages.select("id", "keys", "feats", "labels", "owners").join(of_page, "id", "left").select("id", "keys", "feats", "labels", "owners", "known", "heads")
 
     def run(batches):
         for b in batches:
             ids, lines = [], []
-            for i, row in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)))):
-                got = decide(row[0], row[1], row[2], row[3], set(row[4] or ()))
+            for i, row in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 7)))):
+                got = decide(row[0], row[1], row[2], row[3], set(row[4] or ()), set(row[5] or ()))
                 ids += [i] * len(got)
                 lines += got
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(lines, pa.int32())], names=["id", "line_no"])

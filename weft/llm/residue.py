@@ -105,7 +105,7 @@ PROSE_CHARS, PROSE_WORDS, OWN_PROSE = 90, 12, 170
 #: Share of a paragraph's words that must come from filler vocabulary.
 FILLER_SHARE = 0.6
 # Function words; a paragraph of several sentences without any of them is no text of a language.
-_FUNCTION_WORDS = frozenset(
+FUNCTION_WORDS = frozenset(
     "the a an and or of to in on for with is are was were that this it its by as at from our each some most no nobody when if while "
     "der die das und oder in im von zu mit ein eine einen den dem des ist für auf bei aus nicht aber denn nach vor "
     "le la les un une des et ou de du en dans pour avec est sur chez à au aux ce cette mais car par sans "
@@ -193,7 +193,7 @@ def is_filler_paragraph(line: str) -> bool:
     words = _WORD.findall(line.lower())
     if len(words) < 8:
         return False
-    return sum(w not in _FUNCTION_WORDS for w in words) / len(words) > 0.97 and len(set(words)) > 4
+    return sum(w not in FUNCTION_WORDS for w in words) / len(words) > 0.97 and len(set(words)) > 4
 
 
 def judge(text: str | None, status: int | None = None) -> str | None:
