@@ -110,3 +110,36 @@ def test_bounded_crawl(spark):
     pages = lambda **k: [r["page"] for r in crawl.crawl(links, seeds, ["docs"], **k).orderBy("depth", F.desc("score")).collect()]
     assert pages() == ["https://a.example/", "https://a.example/docs", "https://a.example/login", "https://a.example/docs/2"]
     assert pages(max_pages=2) == ["https://a.example/", "https://a.example/docs"] and len(pages(max_depth=0)) == 1
+
+
+def test_ranks_of_null_and_hot_groups(spark):
+    from weft.plans import staging
+    from weft.plans.ranking import spread_rank
+
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 != 0, F.pmod(F.xxhash64("id"), F.lit(5))).alias("g"), F.when(F.col("id") % 5 != 0, F.lit("x")).alias("h"), F.xxhash64("id", F.lit(1)).alias("o")
+    )
+    got = spread_rank(rows, ["g", "h"], [F.desc("o")], "n").toPandas()
+    want = got.sort_values("o", ascending=False).groupby(["g", "h"], dropna=False).cumcount() + 1
+    assert len(got) == 4000 and (want.sort_index() == got["n"]).all()
+    assert spread_rank(rows.limit(0), ["g"], [F.desc("o")], "n").count() == 0
+    assert staging.sweep() >= 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from weft.plans import staging
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda k, d: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class getConf:
+                get = staticmethod(lambda k, d: None)
+
+    import pytest
+
+    with pytest.raises(ValueError):
+        staging.shared_dir(Cluster)
