@@ -3,7 +3,7 @@ import random
 import pytest
 from test_text_operators import entries, prose
 
-from weft.llm import furniture, mixing, residue, scans
+from weft.llm import furniture, language, mixing, packing, residue, scans, splitting
 
 # --- problem 6
 
@@ -152,3 +152,84 @@ def test_long_lines_are_masked_as_short_ones(spark):
         text = f"# {prose(rng, 5)[:-1]}\n\nThe {prose(rng, 40)[:-1]} of the day.\n\n© {2001 + i} {site.capitalize()}: " + "whoever copies these pages in whole or in part without having asked for it in writing does so at a risk of their own. " * 3
         rows.append((i, f"https://{site}.example/p{i}", text))
     assert {tuple(r) for r in furniture.furniture(entries(spark, rows)).collect()} == {(i, 5) for i in range(44)}
+
+
+def test_no_glyph_edit_changes_the_shape():
+    for w in ["market", "modern", "cloud", "clay", "queue", "running", "d0wn", "w1ndow", "back", "o'clock", "fjord", "knnight", "vview", "élan", "lc", "ri"]:
+        assert all(scans.strokes(f) == scans.strokes(w) for f in scans._edits(w)), w
+
+
+# --- problem 5
+
+
+def test_a_far_boundary_goes_before_a_forced_cut():
+    text = "x" * 5700 + " " + "y" * 3299
+    assert splitting.cuts(text) == [5701]
+    assert splitting.cuts("z" * 9000) == [4600]
+
+
+# --- problem 7
+
+
+def test_certificates_hold(spark):
+    rng = random.Random(33)
+    rows = [(i, "x" * rng.choice([rng.randrange(1, 4000), 2049, 1400, 4096, 9000])) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = packing.certificate(df, group_items=100).collect()
+    whole = [r for r in got if r["round"] is None]
+    parts = [r for r in got if r["round"] is not None]
+    bins = packing.pack(df, group_items=100).select("container").distinct().count()
+    assert len(whole) == 1 and whole[0]["bins"] == bins and whole[0]["items"] == packing.pack(df, group_items=100).count()
+    assert all(r["bound"] <= r["bins"] and r["gap"] == r["bins"] - r["bound"] for r in got)
+    assert len([r for r in parts if r["round"] == 0]) == 5 and -(-sum(len(t) for _, t in rows) // 4096) <= whole[0]["bound"]
+    assert packing.certificate(df.limit(0)).count() == 0
+
+
+# --- problem 8
+
+
+def test_routes_add_up_and_often_repeated_texts_are_spread(spark):
+    docs = [(i, "the same text over and over", "a") for i in range(300)] + [(1000 + i, "the same text over and over", "b") for i in range(3)] + [(2000 + i, f"text number {i}", "b") for i in range(200)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.5, 4), ("b", 0.2, 5)], "source string, target_share double, max_repeats int")
+    rep = {r["source"]: r for r in mixing.report(d, t).collect()}
+    routes = mixing.routes(d, t).collect()
+    for s, r in rep.items():
+        own = [x for x in routes if x["source"] == s]
+        assert sum(x["used"] for x in own) == r["used"] and sum(x["tokens"] for x in own) == r["tokens"]
+        assert all(0 <= x["used"] <= r["max_repeats"] * x["tokens"] for x in own)
+    # b's own texts are used before the one that a needs too
+    assert [x["used"] for x in routes if x["source"] == "b" and x["members"] == ["a", "b"]] == [0]
+
+
+# --- problem 9
+
+
+def test_languages_of_others_and_of_none(spark):
+    from test_text_operators import SAMPLES
+
+    samples = spark.createDataFrame([(l, t) for l, t in SAMPLES.items() for _ in range(3)], "lang string, text string")
+    finnish = "Kylän väki kokoontui illalla torille kuuntelemaan pitkää puhetta kalastuksesta, metsistä sekä tulevan talven varastoista."
+    rows = [(1, finnish, "en", "https://a.example/"), (2, SAMPLES["de"], None, ""), (3, SAMPLES["de"], None, None), (4, SAMPLES["fr"], "fr", "https://a.example/")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, url string")
+    told = {r["id"]: r for r in language.identify(df, samples).collect()}
+    assert told[1]["lang"] == "und" and told[2]["lang"] == told[3]["lang"] == "de" and told[2]["confidence"] == told[3]["confidence"]
+    assert sorted(map(tuple, language.mislabelled(df, samples).collect())) == [(2, 1, "de"), (3, 1, "de")]
+
+
+def test_weak_sentences_make_a_stretch_together():
+    import numpy as np
+
+    scores = np.array([[6.0, 0.0], [5.0, 0.0], [0.0, 2.4], [0.0, 2.4]])
+    assert language.runs(scores) == [(0, 2), (1, 4)]
+    assert language.runs(scores[:3]) == [(0, 3)]
+    rng = np.random.default_rng(3)
+    for _ in range(200):  # against all paths
+        s = rng.normal(0, 2, (6, 2))
+        paths = [[(x >> i) & 1 for i in range(6)] for x in range(64)]
+        worth = lambda p: sum(s[i, j] for i, j in enumerate(p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:]))
+        got, at = [], 0
+        for j, end in language.runs(s):
+            got += [j] * (end - at)
+            at = end
+        assert worth(got) == pytest.approx(max(map(worth, paths)))

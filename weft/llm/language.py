@@ -24,10 +24,12 @@ from weft.sources.tables import site_of
 
 #: Labelled rows that the model is fitted on at most, per language.
 SAMPLES_PER_LANGUAGE = 2000
-#: Log odds that a change of language between two sentences costs, and that make a sentence sure.
-SWITCH, SURE = 4.0, 2.5
+#: Log odds that a change of language between two sentences costs.
+SWITCH = 4.0
 #: Strength of the smoothing from suffix to host and from all documents to suffix, in documents.
 HOST_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0
+#: Words from which it can be told that a text is in no sampled language, and the share of known words below which it is.
+UNKNOWN_WORDS, UNKNOWN_SHARE, UNKNOWN = 12, 0.12, "und"
 #: A text's likelihood is tempered, since its words aren't independent.
 TEMPER = 0.5
 
@@ -151,16 +153,13 @@ class _Words:
             self.rows, self.ids = list(self.model.rows), dict(self.model.ids)
 
 
-def runs(scores: np.ndarray, switch: float = SWITCH, sure: float = SURE) -> list[tuple[int, int]]:
+def runs(scores: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int]]:
     """(language, last sentence + 1) of each stretch of sentences: the best path with a price on changes."""
     n, k = scores.shape
-    top = np.partition(scores, k - 2, axis=1) if k > 1 else None
-    best = scores.argmax(1)
-    if top is not None:
-        certain = (top[:, k - 1] - top[:, k - 2]) >= sure
-        kinds = np.unique(best[certain])
-        if len(kinds) <= 1:
-            return [(int(kinds[0]) if len(kinds) else int(scores.sum(0).argmax()), n)]
+    whole = int(scores.sum(0).argmax())
+    # no other path can win where all that any language gains on the main one doesn't make up for a change
+    if n == 1 or np.maximum(scores - scores[:, whole : whole + 1], 0).sum(0).max() <= switch:
+        return [(whole, n)]
     cost = scores[0].copy()
     back = np.zeros((n, k), np.int64)
     stay = np.arange(k)
@@ -177,9 +176,10 @@ def runs(scores: np.ndarray, switch: float = SWITCH, sure: float = SURE) -> list
 
 
 def evidence(df: DataFrame, model: Model, id_col: str, text_col: str, label_col: str, url_col: str) -> DataFrame:
-    """(id, declared, host, suffix, lang, scores): a row per text with letters; lang and scores of its stretches in order.
+    """(id, declared, host, suffix, lang, scores, foreign): a row per text with letters; lang and scores of its stretches in order.
 
-    ``scores`` holds, stretch by stretch, the log likelihood of each language.
+    ``scores`` holds, stretch by stretch, the log likelihood of each language; ``foreign``
+    tells whether hardly any of the text's words occur in the samples.
     """
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -204,11 +204,14 @@ def evidence(df: DataFrame, model: Model, id_col: str, text_col: str, label_col:
                     of_text.append(len(ends))
                 table = np.asarray(words.rows, np.float32)
                 if ends:
-                    score = np.add.reduceat(table[np.array(ids)], np.r_[0, ends[:-1]], axis=0)
+                    score = np.add.reduceat(table[np.array(ids)], np.array([0, *ends[:-1]], np.int64), axis=0)
                 begin = 0
-                rows, langs, flat = [], [], []
+                rows, langs, flat, foreign = [], [], [], []
+                known = np.r_[0, np.cumsum((np.array(ids, np.int64) > 0) & (np.array(ids, np.int64) <= len(m.ids)))]
                 for i, end in enumerate(of_text):
                     if end > begin:
+                        first, last = (ends[begin - 1] if begin else 0), ends[end - 1]
+                        foreign.append(bool(last - first >= UNKNOWN_WORDS and known[last] - known[first] < UNKNOWN_SHARE * (last - first)))
                         found, at, parts = runs(score[begin:end]), begin, []
                         for _, stop in found:
                             parts.append(score[at : begin + stop].sum(0))
@@ -219,8 +222,8 @@ def evidence(df: DataFrame, model: Model, id_col: str, text_col: str, label_col:
                     begin = end
                 x = b.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(x.column(c) for c in range(4)), pa.array(langs, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.float32()))],
-                    names=["id", "declared", "host", "suffix", "lang", "scores"],
+                    [*(x.column(c) for c in range(4)), pa.array(langs, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.float32())), pa.array(foreign, pa.bool_())],
+                    names=["id", "declared", "host", "suffix", "lang", "scores", "foreign"],
                 )
                 words.forget()
 
@@ -230,7 +233,7 @@ def evidence(df: DataFrame, model: Model, id_col: str, text_col: str, label_col:
         .filter("text is not null")
         .select("id", F.coalesce(label_language(F.col("label")), F.lit("")).alias("declared"), host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"), "text")
     )
-    return map_arrow(narrow, run, f"id {kind}, declared string, host string, suffix string, lang array<int>, scores array<float>")
+    return map_arrow(narrow, run, f"id {kind}, declared string, host string, suffix string, lang array<int>, scores array<float>, foreign boolean")
 
 
 def identify(
@@ -239,8 +242,9 @@ def identify(
     """(id, declared, seg_no, lang, confidence, doc_lang, doc_confidence, n_segments): a row per segment of every text with letters.
 
     ``declared`` is the language that the label names, '' for none; ``doc_lang`` is the
-    document's main language. Null texts and texts without any word give no row, as
-    nothing is known about them; repeated rows are judged once each.
+    document's main language. A text in none of the sampled languages is one segment in
+    'und', its confidence the share of evidence that is missing. Null texts and texts without
+    any word give no row, as nothing is known about them; repeated rows are judged once each.
     """
     model = fit(samples)
     langs = model.langs
@@ -248,7 +252,7 @@ def identify(
     if not langs:  # nothing is known about any language
         return df.sparkSession.createDataFrame([], f"id {kind}, declared string, seg_no int, lang string, confidence double, doc_lang string, doc_confidence double, n_segments int")
     found = stage(evidence(df, model, id_col, text_col, label_col, url_col), "evidence")
-    single = found.filter(F.size("lang") == 1).select("declared", "host", "suffix", F.element_at("lang", 1).alias("l"))
+    single = found.filter((F.size("lang") == 1) & ~F.col("foreign")).select("declared", "host", "suffix", F.element_at("lang", 1).alias("l"))
     counts = [F.sum((F.col("l") == j).cast("int")).cast("double") for j in range(len(langs))]
     vector = F.array(*counts)
     # bounded tables: one row per declared code, and one for all documents
@@ -258,18 +262,33 @@ def identify(
     labels = [*langs, ""]
     odds = {d: [math.log((by_label.get(d, [0] * len(langs))[j] + (2.0 if d == l else 0.2)) / (total[j] + 4.0)) for j, l in enumerate(langs)] for d in labels}
     by_suffix = single.groupBy("suffix").agg(vector.alias("sv"))
-    by_host = single.groupBy("host").agg(vector.alias("hv"))
+    by_host = single.filter("host != ''").groupBy("host").agg(vector.alias("hv"))
     priors = by_host.withColumn("suffix", F.regexp_extract("host", r"\.([a-z]+)$", 1)).join(by_suffix, "suffix", "left").select("host", "hv", "sv")
-    joined = found.join(priors, "host", "left").select("id", "declared", "lang", "scores", "hv", "sv")
+    none = F.lit(None).cast("array<double>")
+    columns = ["id", "declared", "lang", "scores", "foreign", "hv", "sv"]
+    # texts without a host have no prior of one, and don't meet in one task for it
+    joined = found.filter("host != ''").join(priors, "host", "left").select(columns).unionByName(found.filter("host = ''").withColumns({"hv": none, "sv": none}).select(columns))
     k = len(langs)
 
+    def without(votes, own) -> np.ndarray:
+        """Votes of the others."""
+        v = np.array(votes if votes else [0.0] * k)
+        if votes and len(own) == 1:
+            v[own[0]] -= 1.0
+        return v
+
     def run(batches):
         for b in batches:
             ids, decl = b.column(0), b.column(1).to_pylist()
             rows, out = [], []
-            for i, (d, own, scores, hv, sv) in enumerate(zip(decl, *(b.column(c).to_pylist() for c in range(2, 6)))):
-                suffix = (np.array(sv if sv else [0.0] * k) + SUFFIX_WEIGHT * base) / ((sum(sv) if sv else 0.0) + SUFFIX_WEIGHT)
-                host = (np.array(hv if hv else [0.0] * k) + HOST_WEIGHT * suffix) / ((sum(hv) if hv else 0.0) + HOST_WEIGHT)
+            for i, (d, own, scores, foreign, hv, sv) in enumerate(zip(decl, *(b.column(c).to_pylist() for c in range(2, 7)))):
+                if foreign:
+                    rows.append(i)
+                    out.append((1, UNKNOWN, 1.0 - UNKNOWN_SHARE, UNKNOWN, 1.0 - UNKNOWN_SHARE, 1))
+                    continue
+                sv, hv = without(sv, own), without(hv, own)
+                suffix = (sv + SUFFIX_WEIGHT * base) / (sv.sum() + SUFFIX_WEIGHT)
+                host = (hv + HOST_WEIGHT * suffix) / (hv.sum() + HOST_WEIGHT)
                 prior = np.log(host) + np.array(odds.get(d, odds[""]))
                 text = np.array(scores).reshape(-1, k)
                 merged: list[list] = []
@@ -278,12 +297,13 @@ def identify(
                     # only a text in one language is bound to its label and host as a whole
                     p = whole if len(own) == 1 else _posterior(part * TEMPER + prior / len(own))
                     j = int(p.argmax())
-                    if merged and merged[-1][0] == j:
-                        merged[-1][1] = max(merged[-1][1], float(p[j]))
+                    if merged and merged[-1][0] == j:  # one segment, judged by all it holds
+                        merged[-1][2] = merged[-1][2] + part
+                        merged[-1][1] = float(_posterior(merged[-1][2] * TEMPER + prior / len(own))[j])
                     else:
-                        merged.append([j, float(p[j])])
+                        merged.append([j, float(p[j]), part])
                 main = int(whole.argmax()) if len(merged) > 1 else merged[0][0]
-                for n, (j, p) in enumerate(merged, 1):
+                for n, (j, p, _) in enumerate(merged, 1):
                     rows.append(i)
                     out.append((n, langs[j], p, langs[main], float(whole[main]), len(merged)))
             cols = list(zip(*out)) if out else [()] * 6
@@ -302,6 +322,9 @@ def _posterior(logs: np.ndarray) -> np.ndarray:
 
 
 def mislabelled(df: DataFrame, samples: DataFrame, **columns: str) -> DataFrame:
-    """(id, seg_no, lang) of the texts whose label is missing or wrong, or that are in several languages."""
-    told = identify(df, samples, **columns)
+    """(id, seg_no, lang) of the texts whose label is missing or wrong, or that are in several languages.
+
+    Of a text in no sampled language nothing is said, whatever its label.
+    """
+    told = identify(df, samples, **columns).filter(F.col("lang") != UNKNOWN)
     return told.filter((F.col("n_segments") > 1) | (F.col("declared") != F.col("lang"))).select("id", "seg_no", "lang").distinct()

@@ -4,6 +4,10 @@ Min-cost flow for overlapping sources: documents are aggregated by membership pa
 (the sources that hold their text), each pattern's tokens are routed to the sources'
 quotas, and using a text once more costs more each time, so that repeats are spread.
 The flow runs over patterns, not documents; seeded documents then fill each route.
+
+A source's documents serve its own quota alone, as a source's share is made of its own
+documents; a text that several sources hold may fill any of their quotas, and its uses add up
+over all of them, so that the flow takes texts that are used less before ones that are used more.
 """
 
 from __future__ import annotations
@@ -102,13 +106,19 @@ def targets_of(targets: DataFrame, source_col: str = "source", share_col: str =
     return rows
 
 
+def _of(documents: DataFrame, names: list[str]) -> DataFrame:
+    """Documents of these sources; the names are those of a configuration table, at most 100,000."""
+    named = documents.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], "src string")
+    return documents.join(F.broadcast(named), "src", "left_semi")
+
+
 def patterns(documents: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[dict]]:
     """Membership patterns: per text the wanted sources that hold it; then per (pattern, source) the tokens.
 
     A text's sources are distinct wanted names, so their set is bounded however often
     a text is repeated; both aggregations combine before they shuffle.
     """
-    held = documents.filter(F.col("src").isin(wanted) & (F.col("tokens") > 0))
+    held = _of(documents, wanted).filter("tokens > 0")
     of_text = held.groupBy("h1", "h2", "src").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("once"))
     grouped = of_text.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("src")).alias("members"), F.max("once").alias("once"), F.collect_list(F.struct("src", "tokens")).alias("each"))
     totals = (
@@ -127,7 +137,7 @@ def plan(documents: DataFrame, targets: list[dict]) -> tuple[list[dict], list[di
     """
     total = documents.agg(F.sum("tokens")).first()[0] or 0
     names = [t["src"] for t in targets]
-    of_source = {r["src"]: r["n"] for r in documents.filter(F.col("src").isin(names)).groupBy("src").agg(F.sum("tokens").alias("n")).collect()}
+    of_source = {r["src"]: r["n"] for r in _of(documents, names).groupBy("src").agg(F.sum("tokens").alias("n")).collect()}
     _, rows = patterns(documents, names)
     kept: dict[str, int] = {}
     for r in rows:
@@ -148,8 +158,12 @@ def plan(documents: DataFrame, targets: list[dict]) -> tuple[list[dict], list[di
     for m, parts in members.items():
         once = max(1, max(p["once"] for p in parts))
         most = sum(repeats[p["src"]] * p["tokens"] for p in parts)
-        for copy in range(max(1, -(-most // once))):  # each further use of the same texts costs one more
-            flow.arc(s, node[m], min(once, most - copy * once), copy)
+        # the first use of a text costs nothing, the second 1, the next two 2, the next four 3 and so on
+        used, cost = 0, 0
+        while used < most:
+            room = min(once * max(1, 1 << (cost - 1) if cost else 1), most - used)
+            flow.arc(s, node[m], room, cost)
+            used, cost = used + room, cost + 1
         for p in parts:
             routes.append((p, flow.arc(node[m], sink[p["src"]], repeats[p["src"]] * p["tokens"])))
     ends = {x["src"]: flow.arc(sink[x["src"]], t, quota[x["src"]]) for x in targets}
@@ -195,6 +209,18 @@ def short_sources(docs: DataFrame, targets: DataFrame, **columns: str) -> DataFr
     return report(docs, targets, **columns).filter("short").select("source").distinct()
 
 
+def routes(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(members, source, tokens, used, mean_uses): how many tokens of a source's documents each membership pattern gives it.
+
+    ``members`` are the sources that hold the texts, null where a source's smallest patterns
+    count together. Routes without use are shown too.
+    """
+    documents = stage(sized(docs, id_col, text_col, source_col), "sized")
+    got, _ = plan(documents, targets_of(targets))
+    known = docs.sparkSession.createDataFrame([(x["members"], x["src"], x["tokens"], x["used"]) for x in got], "members array<string>, source string, tokens bigint, used bigint")
+    return known.withColumn("mean_uses", F.col("used") / F.col("tokens"))
+
+
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, tokens, copies): how often each document is used; unused ones give no row.
 
@@ -207,7 +233,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, id_col: str = "doc_i
     documents = stage(sized(docs, id_col, text_col, source_col), "sized")
     wanted = targets_of(targets)
     routes, _ = plan(documents, wanted)
-    listed = documents.filter(F.col("src").isin([t["src"] for t in wanted]) & (F.col("tokens") > 0))
+    listed = _of(documents, [t["src"] for t in wanted]).filter("tokens > 0")
     members = listed.select("h1", "h2", "src").distinct().groupBy("h1", "h2").agg(F.sort_array(F.collect_set("src")).alias("members")).filter(F.size("members") > 1)
     known = spark.createDataFrame([(x["members"], x["src"], x["tokens"], x["used"]) for x in routes], "members array<string>, src string, route_tokens bigint, used bigint")
     own = known.filter("members is not null")

@@ -51,6 +51,11 @@ def p7_containers(spark, sf_dir):
     return packing.containers(packing.pack(table(spark, sf_dir, "documents")))
 
 
+@LLM.add("p7_certificate")
+def p7_certificate(spark, sf_dir):
+    return packing.certificate(table(spark, sf_dir, "documents"))
+
+
 @LLM.add(
     "p1_found",
     f"""WITH {_TEXTS},
@@ -131,6 +136,11 @@ def p8_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
 
 
+@LLM.add("p8_routes")
+def p8_routes(spark, sf_dir):
+    return mixing.routes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def _near(spark, sf_dir):
     return neardup.similar(
         [

@@ -34,9 +34,10 @@ _RUN = re.compile(r"\S+")
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     """Positions that cut ``text``; each piece after the first begins ``overlap`` before its cut.
 
-    Among the boundaries of one strength the nearest to the target is taken (ties:
-    the earlier one). Where no boundary is near, as within a long unbroken run, the
-    cut stands at the target itself, moved back out of a combining sequence.
+    Near the target the strongest boundary is taken, the nearest of its strength (ties:
+    the earlier one). Where none is near, the strongest within the whole range in which the
+    cut may stand; where there is none either, as within a long unbroken run, the cut stands
+    at the target itself, moved back out of a combining sequence.
     """
     n = len(text)
     if n <= limit:
@@ -76,11 +77,11 @@ def _place(text: str, pieces: int, limit: int, overlap: int) -> tuple[list[int]
 
 
 def _snap(text: str, target: int, low: int, high: int, reach: int) -> tuple[int, bool]:
-    a, b = max(low, target - reach), min(high, target + reach)
-    for boundary in BOUNDARIES:
-        near = [m.end() for m in boundary.finditer(text, max(0, a - 40), b) if a <= m.end() <= b]
-        if near:
-            return min(near, key=lambda p: (abs(p - target), p)), True
+    for a, b in ((max(low, target - reach), min(high, target + reach)), (low, high)):
+        for boundary in BOUNDARIES:
+            near = [m.end() for m in boundary.finditer(text, max(0, a - 40), b) if a <= m.end() <= b]
+            if near:
+                return min(near, key=lambda p: (abs(p - target), p)), True
     while target > low and (unicodedata.combining(text[target]) or text[target] == "\u200d"):
         target -= 1
     return target, False
