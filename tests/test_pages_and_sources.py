@@ -24,7 +24,7 @@ def test_links_metadata_and_structured_data():
     <script>window.state = {"a": [1, 2]}; var s = "</p>";</script></head><body><nav><a href=/n>Nav</a></nav><p><b>One<br><p>Two <a href="/x#1">X</a><a href="/x">again</a><a href="https://b.example/">B</a><a href="mailto:a@b">m</a>
     <div itemscope itemtype="http://s/Product"><span itemprop=name>N</span><div itemprop=offer itemscope itemtype="http://s/Offer"><meta itemprop=price content=5></div></div>"""
     root = D.parse(html)
-    assert D.metadata(root, "https://a.example/") == {"lang": "en", "title": "A b", "canonical": "https://a.example/c", "og_title": "T", "author": "Me"}
+    assert D.metadata(root, "https://a.example/") == {"lang": "en", "title": "T", "canonical": "https://a.example/c", "author": "Me"}
     assert [(u, k) for u, _, k in D.links(root, "https://www.a.example/p")] == [("https://www.a.example/n", "navigation"), ("https://www.a.example/x", "citation"), ("https://b.example/", "external")]
     assert [json.loads(x)["@type"] for x in D.json_ld(root)] == ["X", "Y"]
     assert json.loads(D.microdata(root)[0]) == {"@type": "Product", "name": "N", "offer": {"@type": "Offer", "price": "5"}}

@@ -163,3 +163,18 @@ def share_of_terms(terms: Column, text: Column, most: float) -> Column:
     """Share of the terms that occur in a text, times ``most``."""
     hits = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))))
     return F.when(F.size(terms) > 0, hits / F.size(terms) * F.lit(most)).otherwise(F.lit(0.0))
+
+
+# The index that each intent asks besides the general ones, and engines that keep the query as it is.
+INTENT_BACKENDS = {"research": "semantic_scholar", "factual": "semantic_scholar", "code": "github_api", "news": "hackernews", "howto": "hackernews", "reference": "wikipedia"}
+CORE_ENGINES = ("duckduckgo", "brave", "mojeek", "yahoo")
+
+
+def intent_backend(kind: Column) -> Column:
+    """The specialised index of an intent; null where the general engines do."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in INTENT_BACKENDS.items() for x in pair]), kind)
+
+
+def query_for(query: Column, kind: Column, engine: Column) -> Column:
+    """What an engine is asked: core engines the query itself, others the expanded one."""
+    return F.when(engine.isin(*CORE_ENGINES), query).otherwise(expanded(query, kind))

@@ -18,7 +18,8 @@ _ENDS = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td"
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SCOPES = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 NAV_TAGS = frozenset(("nav", "header", "footer", "aside"))
-MAX_COLUMNS, MAX_NODES = 64, 200_000
+#: The nodes of a page that are read are bounded by a request's budget.
+MAX_COLUMNS, MAX_NODES = 64, 2_000_000
 
 
 class Node:
@@ -238,29 +239,80 @@ def title(root: Node) -> str:
     return ""
 
 
+# The field that a meta key fills; the first in the document counts.
+META_FIELDS = {
+    "og:title": "title", "twitter:title": "title", "og:description": "description", "description": "description", "twitter:description": "description", "og:site_name": "site_name", "og:type": "type",
+    "og:image": "image", "twitter:image": "image", "og:url": "og_url", "article:published_time": "published_time", "article:modified_time": "modified_time", "article:author": "author", "author": "author",
+}
+#: What a field of JSON-LD fills, in the order in which its keys are tried, and the length it is cut to.
+LD_FIELDS = {"published_time": (("datePublished", "dateCreated"), 20), "title": (("headline", "name"), 500), "description": (("description",), 300), "author": (("author",), 200)}
+
+
 def metadata(root: Node, url: str) -> dict[str, str]:
-    """Title, language, canonical url, description, author and dates; the first in document order counts."""
+    """Title, description, site, type, image, author, dates, language and canonical address of a page.
+
+    Meta keys come first, then the title element, then what JSON-LD entities say. Values are
+    cut to 500 characters, which is the feature of a summary.
+    """
     out: dict[str, str] = {}
-    names = {"description": "description", "og:description": "description", "og:title": "og_title", "author": "author", "article:author": "author", "article:published_time": "published_time", "article:modified_time": "modified_time", "og:site_name": "site_name", "keywords": "keywords"}
-    if t := title(root):
-        out["title"] = t
+    entities: list = []
     for n in root.nodes():
-        if n.tag == "html" and n.attrs.get("lang"):
-            out.setdefault("lang", n.attrs["lang"])
-        elif n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split():
-            out.setdefault("canonical", urljoin(url, n.attrs.get("href", "")))
-        elif n.tag == "meta":
-            key = names.get((n.attrs.get("property") or n.attrs.get("name") or "").lower())
-            if key and n.attrs.get("content"):
-                out.setdefault(key, n.attrs["content"][:2000])
+        if n.tag == "meta":
+            key = META_FIELDS.get((n.attrs.get("property") or n.attrs.get("name") or "").lower().strip())
+            value = n.attrs.get("content", "").strip()
+            if key and value:
+                out.setdefault(key, value[:500])
+        elif n.tag == "html" and n.attrs.get("lang"):
+            out.setdefault("lang", n.attrs["lang"].strip()[:100])
+        elif n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href"):
+            out.setdefault("canonical", urljoin(url, n.attrs["href"].strip()))
+        elif n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json":
+            try:
+                found = json.loads("".join(c for c in n.children if isinstance(c, str)))
+            except ValueError:
+                continue
+            entities += [x for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict)]
+    if t := title(root):
+        out.setdefault("title", t[:500])
+    for entity in entities:
+        for field, (keys, most) in LD_FIELDS.items():
+            value = next((entity[k] for k in keys if entity.get(k)), None)
+            if field == "author":
+                value = value[0] if isinstance(value, list) and value else value
+                value = value.get("name") if isinstance(value, dict) else value
+            if value:
+                out.setdefault(field, str(value)[:most])
     return out
 
 
-def links(root: Node, url: str) -> list[tuple[str, str, str]]:
-    """(url, text, kind) of links, each page once: citation, navigation or external."""
-    own, seen, out = _host(url), set(), []
+#: Links of each kind that are classified for a reader, and anchors looked at; bounds of the report, not of the page's links.
+LINK_CAPS, MOST_ANCHORS = {"citation": 30, "navigation": 20, "external": 20}, 3000
+
+
+def link_report(root: Node, url: str) -> dict:
+    """{citations, navigation, external, primary_source}: a page's first links by kind, each {url, text}."""
+    found = list(_anchors(root, url, MOST_ANCHORS))
+    kinds = {"citation": lambda out, nav: not out and not nav, "navigation": lambda out, nav: not out and nav, "external": lambda out, nav: out}
+    of = lambda k: [{"url": u, "text": t} for u, t, out, nav in found if kinds[k](out, nav)][: LINK_CAPS[k]]
+    content = [(u, t, "external") for u, t, out, nav in found if out and not nav]  # navigation names no sources
+    return {"citations": of("citation"), "navigation": of("navigation"), "external": of("external"), "primary_source": primary_source(metadata(root, url), content, url)}
+
+
+def links(root: Node, url: str, most: int | None = None) -> list[tuple[str, str, str]]:
+    """(url, text, kind) of links, each page once: citation, navigation or external; of the first ``most`` anchors if asked."""
+    return [(target, text, "external" if outside else "navigation" if nav else "citation") for target, text, outside, nav in _anchors(root, url, most)]
+
+
+def _anchors(root: Node, url: str, most: int | None):
+    """(url, text, whether on another host, whether in navigation) of anchors, each page once."""
+    own, seen, anchors = _host(url), set(), 0
     for n in root.nodes():
-        href = n.attrs.get("href", "").strip() if n.tag == "a" else ""
+        if n.tag != "a" or "href" not in n.attrs:
+            continue
+        anchors += 1
+        if most is not None and anchors > most:
+            return
+        href = n.attrs["href"].strip()
         if not href or href.lower().startswith(("javascript:", "mailto:", "tel:", "data:", "#")):
             continue
         try:
@@ -273,8 +325,7 @@ def links(root: Node, url: str) -> list[tuple[str, str, str]]:
         seen.add(target)
         text = n.text()
         nav = any(a.tag in NAV_TAGS or a.attrs.get("role") in ("navigation", "menu", "menubar") for a in n.ancestors())
-        out.append((target, text if len(text) <= 160 else text[:157] + "...", "external" if host != own else "navigation" if nav else "citation"))
-    return out
+        yield target, text if len(text) <= 160 else text[:157] + "...", host != own, nav
 
 
 def _host(url: str) -> str:
@@ -522,14 +573,25 @@ def markdown(root: Node) -> str:
 def extract(root: Node, schema: dict) -> list[dict]:
     """Records by a schema {baseSelector, fields: [{name, selector, type, attribute, pattern, group, fields, default, transform}]}.
 
-    Types are text, attribute, html, regex, nested and nested_list; every declared field is there, null where nothing fits.
+    Types are text, attribute, html, regex, list, nested and nested_list; selectors are CSS, or paths where they begin
+    with a slash or ./; every declared field is there, null where nothing fits.
     """
-    bases = select(root, schema["baseSelector"]) if schema.get("baseSelector") else [root]
+    schema = checked_schema(schema)
+    bases = _found(root, schema["baseSelector"]) if schema.get("baseSelector") else [root]
     return [{f["name"]: _field(b, f) for f in schema.get("fields", ())} for b in bases]
 
 
+def _found(base: Node, selector: str) -> list:
+    """Nodes by a path where the selector looks like one, else by CSS."""
+    return xpath(base, selector) if selector.startswith(("/", "./", "xpath:")) else select(base, selector)
+
+
 def _field(base: Node, f: dict):
-    found = select(base, f["selector"]) if f.get("selector") else [base]
+    found = _found(base, f["selector"]) if f.get("selector") else [base]
+    if found and isinstance(found[0], str):  # a path may end in texts
+        return found if f.get("type") == "list" else found[0]
+    if f.get("type") == "list":
+        return [n.text() for n in found]
     kind = f.get("type", "text")
     if kind == "nested_list":
         return [{g["name"]: _field(n, g) for g in f.get("fields", ())} for n in found]
@@ -714,7 +776,227 @@ def relocate(root: Node, tag: str, text: str, attrs: dict[str, str], least: floa
 
     best, score = None, least
     for n in root.nodes():
-        s = difflib.SequenceMatcher(None, n.text()[:2000], text[:2000]).ratio() + 0.1 * (n.tag == tag) + 0.05 * sum(n.attrs.get(k) == v for k, v in attrs.items())
+        s = difflib.SequenceMatcher(None, n.text(), text).ratio() + 0.1 * (n.tag == tag) + 0.05 * sum(n.attrs.get(k) == v for k, v in attrs.items())
         if s > score:
             best, score = n, s
     return best
+
+
+_PATH_STEP = re.compile(r"(//|/)(\.\.|\.|\*|text\(\)|[\w-]+|@[\w-]+)((?:\[[^\]]*\])*)")
+_PATH_TEST = re.compile(r"@([\w-]+)(?:\s*=\s*(['\"])(.*?)\2)?|(contains|starts-with)\(\s*(?:@([\w-]+)|text\(\)|\.)\s*,\s*(['\"])(.*?)\6\s*\)|(\d+)|last\(\)|(text\(\)|\.)\s*=\s*(['\"])(.*?)\10")
+
+
+def xpath(root: Node, path: str) -> list:
+    """Nodes, or texts where the path ends in an attribute or text(), of a path of child and descendant steps.
+
+    Steps are names, *, ., .., @name and text(), with tests of attributes, texts, contains,
+    starts-with and places. A path outside this raises ValueError. Relative paths start at ``root``.
+    """
+    path = path.strip()
+    path = path[1:] if path.startswith(".") else path if path.startswith("/") else "/" + path
+    steps, at = [], 0
+    while at < len(path):
+        m = _PATH_STEP.match(path, at)
+        if not m:
+            raise ValueError(f"path not understood: {path}")
+        steps.append((m[1] == "//", m[2], re.findall(r"\[([^\]]*)\]", m[3])))
+        at = m.end()
+    held: list = [root]
+    for deep, name, tests in steps:
+        got: dict[int, object] = {}
+        texts: list[str] = []
+        for n in held:
+            bases = [n, *n.nodes()] if deep else [n]
+            for b in bases:
+                if name.startswith("@"):
+                    texts += [b.attrs[name[1:]]] if name[1:] in b.attrs else []
+                elif name == "text()":
+                    texts += [c for c in b.children if isinstance(c, str) and c.strip()]
+                else:
+                    kin = [b] if name == "." else [b.parent] if name == ".." and b.parent else [c for c in b.elements() if name in ("*", c.tag)] if name != ".." else []
+                    for t in tests:
+                        kin = _filtered(kin, t)
+                    got.update((id(k), k) for k in kin)
+        if name.startswith("@") or name == "text()":
+            return texts
+        held = list(got.values())
+    order = {id(n): i for i, n in enumerate([root, *root.nodes()])}
+    return sorted(held, key=lambda n: order.get(id(n), -1))
+
+
+def _filtered(kin: list[Node], test: str) -> list[Node]:
+    m = _PATH_TEST.fullmatch(test.strip())
+    if not m:
+        raise ValueError(f"test not understood: {test}")
+    if m[8]:
+        return kin[int(m[8]) - 1 : int(m[8])]
+    if test.strip() == "last()":
+        return kin[-1:]
+    if m[1]:
+        return [k for k in kin if m[1] in k.attrs and (m[2] is None or k.attrs[m[1]] == m[3])]
+    if m[4]:
+        value = lambda k: k.attrs.get(m[5], "") if m[5] else k.text()
+        return [k for k in kin if (m[7] in value(k) if m[4] == "contains" else value(k).startswith(m[7]))]
+    return [k for k in kin if k.text() == m[11]]
+
+
+def xpath_of(n: Node) -> str:
+    """A path that finds the node: from the nearest id down, by place among its kind."""
+    parts = []
+    while n.tag != "#root":
+        if n.attrs.get("id") and re.fullmatch(r"[\w-]+", n.attrs["id"]):
+            return "/".join(['//*[@id="' + n.attrs["id"] + '"]', *reversed(parts)])
+        kin = [k for k in (n.parent.elements() if n.parent else [n]) if k.tag == n.tag]
+        parts.append(n.tag if len(kin) == 1 else f"{n.tag}[{next(i for i, k in enumerate(kin, 1) if k is n)}]")
+        n = n.parent
+    return "/" + "/".join(reversed(parts))
+
+
+# Other names that a schema's keys go by, and the kinds of fields.
+_SCHEMA_NAMES = {"base_selector": "baseSelector", "base": "baseSelector", "css": "selector", "attr": "attribute", "regex": "pattern", "key": "name"}
+_KINDS = ("text", "attribute", "html", "regex", "nested", "nested_list", "list")
+_FORBIDDEN_KEYS = ("expression", "function", "code", "eval", "script")
+
+
+def checked_schema(schema: dict, depth: int = 0) -> dict:
+    """A schema with its keys under their own names; ValueError for one that can't be used, and for keys that carry code."""
+    if not isinstance(schema, dict) or depth > 8:
+        raise ValueError("a schema is an object, nested at most eight deep")
+    out = {_SCHEMA_NAMES.get(k, k): v for k, v in schema.items()}
+    if bad := sorted(set(out) & set(_FORBIDDEN_KEYS)):
+        raise ValueError(f"keys that carry code are not allowed: {bad}")
+    fields = out.get("fields", [])
+    if not isinstance(fields, list) or (depth == 0 and not fields):
+        raise ValueError("fields must be a list, and not an empty one")
+    names = set()
+    checked = []
+    for f in fields:
+        f = checked_schema(f, depth + 1)
+        kind = f.setdefault("type", "text")
+        if not isinstance(f.get("name"), str) or not f["name"] or f["name"] in names:
+            raise ValueError("every field needs a name of its own")
+        if kind not in _KINDS:
+            raise ValueError(f"unknown type {kind!r} of {f['name']}")
+        if kind == "attribute" and not f.get("attribute"):
+            raise ValueError(f"{f['name']} names no attribute")
+        if f.get("pattern"):
+            try:
+                re.compile(f["pattern"])
+            except re.error as e:
+                raise ValueError(f"pattern of {f['name']}: {e}") from None
+        names.add(f["name"])
+        checked.append(f)
+    if fields:
+        out["fields"] = checked
+    return out
+
+
+def narrowed(root: Node, selector: str, most_nodes: int = 100, node_chars: int = 100_000, all_chars: int = 500_000) -> list[str]:
+    """Markup of the nodes that a selector finds; the numbers bound what one request may return."""
+    out, total = [], 0
+    for n in select(root, selector)[:most_nodes]:
+        markup = to_html(n)[:node_chars]
+        if total + len(markup) > all_chars:
+            break
+        out.append(markup)
+        total += len(markup)
+    return out
+
+
+_RAW = frozenset(("script", "style", "pre", "textarea"))
+
+
+def minified(root: Node) -> str:
+    """Markup with blanks collapsed outside of raw text, and blank texts left out."""
+    todo = [(root, False)]
+    while todo:
+        n, raw = todo.pop()
+        raw = raw or n.tag in _RAW
+        if not raw:
+            n.children = [re.sub(r"\s+", " ", c) if isinstance(c, str) else c for c in n.children if not isinstance(c, str) or c.strip()]
+        todo += [(c, raw) for c in n.elements()]
+    return "".join(to_html(c) if isinstance(c, Node) else c for c in root.children).strip()
+
+
+def cleaned(html: str, base: str = "") -> dict:
+    """{title, body, links, images, data} of a page: its minified body, absolute addresses and what its scripts carry."""
+    root = parse(html)
+    data = script_data(root)
+    hrefs = [urljoin(base, n.attrs["href"]) if base else n.attrs["href"] for n in root.nodes() if n.tag == "a" and n.attrs.get("href")]
+    sources = [n.attrs["src"] if n.attrs["src"].startswith("http") or not base else urljoin(base, n.attrs["src"]) for n in root.nodes() if n.tag == "img" and n.attrs.get("src")]
+    body = next((n for n in root.nodes() if n.tag == "body"), root)
+    own = body if body is root else _wrapped(body)
+    return {"title": title(root), "body": minified(own), "links": hrefs, "images": sources, "data": data}
+
+
+def _wrapped(n: Node) -> Node:
+    top = Node("#root", {}, None)
+    top.children.append(n)
+    return top
+
+
+def absolute_links(text: str, base: str) -> str:
+    """Markdown whose relative link targets are made absolute."""
+    keep = ("http://", "https://", "mailto:", "#", "data:", "javascript:")
+    return re.sub(r"(!?\[[^\n\]]*\]\()([^)\n]+)\)", lambda m: f"{m[1]}{m[2].strip() if m[2].strip().startswith(keep) else urljoin(base, m[2].strip())})", text)
+
+
+def surviving_references(text: str, root: Node, base: str) -> str:
+    """References of anchors whose words still stand in a text while their targets are gone, numbered in order."""
+    numbers: dict[str, int] = {}
+    for n in root.nodes():
+        href, label = (n.attrs.get("href", "").strip(), n.text().strip()) if n.tag == "a" else ("", "")
+        if len(label) < 2 or not href or label not in text:
+            continue
+        if not href.startswith(("http://", "https://")):
+            if not base or href.startswith(("mailto:", "#", "javascript:")):
+                continue
+            href = urljoin(base, href)
+        numbers.setdefault(href, len(numbers) + 1)
+    return "\n\n## References\n\n" + "".join(f"⟨{k}⟩ {u}\n" for u, k in numbers.items()) if numbers else ""
+
+
+def bare_text(html: str) -> str:
+    """Text of a piece of markup, its parts set apart by one blank."""
+    return " ".join(" ".join(c.strip() for c in _texts(parse(html))).split())
+
+
+def _texts(root: Node) -> list[str]:
+    out, todo = [], list(reversed(root.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag not in ("script", "style"):
+            todo += reversed(c.children)
+    return [x for x in out if x.strip()]
+
+
+def pretty_json(text: str) -> str:
+    """A JSON text with one value a line; other texts trimmed."""
+    try:
+        return json.dumps(json.loads(text), indent=1, ensure_ascii=False)
+    except ValueError:
+        return text.strip()
+
+
+def reply_records(reply: str, fields: dict[str, str]) -> list[dict] | None:
+    """Records of a model's reply: JSON, in a fence or among other words; None where there is none that fits.
+
+    ``fields`` gives each field's type; fields of type list must be lists, other types aren't checked.
+    """
+    fence = re.search(r"```(?:json)?\s*\n(.*?)```", reply, re.S)
+    body = fence[1] if fence else reply
+    found = None
+    for m in re.finditer(r"[\[{]", body):
+        try:
+            found, _ = json.JSONDecoder().raw_decode(body, m.start())
+            break
+        except ValueError:
+            continue
+    rows = found if isinstance(found, list) else [found] if isinstance(found, dict) else None
+    if rows is None or not all(isinstance(r, dict) for r in rows):
+        return None
+    if any(kind == "list" and not isinstance(r.get(name, []), list) for r in rows for name, kind in fields.items()):
+        return None
+    return [{name: r.get(name) for name in fields} for r in rows]

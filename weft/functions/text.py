@@ -169,8 +169,9 @@ def _collapse(text: str | None) -> str | None:
     return "\n".join(out)
 
 
-def visible_text(html: Column | str) -> Column:
-    """Text of a page without scripts, styles and tags, blanks collapsed."""
+def visible_text(html: Column | str, noscript: bool = True) -> Column:
+    """Text of a page without scripts, styles and tags, blanks collapsed; without what scripts replace if asked."""
+    html = text_of(html) if noscript else F.regexp_replace(text_of(html), r"(?is)<noscript\b[^>]*>.*?</noscript>", " ")
     bare = F.regexp_replace(F.regexp_replace(text_of(html), r"(?is)<script\b[^>]*>.*?</script>", " "), r"(?is)<style\b[^>]*>.*?</style>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
 
@@ -269,7 +270,7 @@ def captions(text: Column | str) -> Column:
 
 def parse_date(text: Column | str) -> Column:
     """Date of ISO, compact and plain written forms; null where none fits."""
-    s = F.trim(text_of(text))
+    s = F.regexp_replace(F.trim(text_of(text)), r"^D:(\d{8})\S*$", "$1")
     iso = F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})", 1)
     return F.coalesce(
         F.when(s.rlike(r"^\d{8}$"), F.try_to_date(s, "yyyyMMdd")),
@@ -407,7 +408,8 @@ def retry_after(value: Column | str, now: Column) -> Column:
     v = F.trim(text_of(value))
     at = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(v, r"^[A-Za-z]{3}, ", ""), r" GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     wait = F.unix_timestamp(at) - F.unix_timestamp(now.cast("timestamp"))
-    return F.greatest(F.coalesce(v.try_cast("double"), wait.cast("double")), F.lit(0.0))
+    told = F.coalesce(v.try_cast("double"), wait.cast("double"))
+    return F.when(told.isNotNull(), F.greatest(told, F.lit(0.0)))
 
 
 def fetch_summary(status: Column, size: Column, kind: Column, error: Column, page_kind: Column, content_ok: Column) -> dict[str, Column]:

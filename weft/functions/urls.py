@@ -316,7 +316,7 @@ def unwrap_result(url: Column | str) -> Column:
     u = F.coalesce(_c(url), F.lit(""))
     q = F.try_url_decode(F.regexp_extract(u, r"/url\?(?:[^#]*&)?q=([^&#]*)", 1))
     ru = F.try_url_decode(F.regexp_extract(u, r"/RU=((?:(?!/RK=|/RS=)[\s\S])*)", 1))
-    b64 = F.substring(F.regexp_extract(u, r"[?&]u=([^&#]*)", 1), 3, 100_000)
+    b64 = F.substring(F.regexp_extract(u, r"[?&]u=([^&#]*)", 1), 3, 2_000_000_000)
     target = F.unbase64(F.translate(b64, "-_", "+/")).cast("string")
     return (
         F.when(u.rlike(r"^https?://(?:www\.)?google\.[^/]+/url\?") & (F.coalesce(q, F.lit("")) != ""), q)

@@ -33,7 +33,7 @@ def crawl(links: DataFrame, seeds: DataFrame, focus: list[str], max_pages: int =
     Every round scores what the front links to, keeps each page's best offer, leaves out
     seen pages and assets, and takes the best up to the limit: the limits are the feature.
     """
-    visited = stage(seeds.select(U.crawl_key("page").alias("page"), F.lit(0).alias("depth"), F.lit(0.0).alias("score")).distinct().limit(max_pages), "crawl0")
+    visited = stage(seeds.select(U.crawl_key("page").alias("page"), F.lit(0).alias("depth"), F.lit(0.0).alias("score")).filter("page <> ''").distinct().orderBy("page").limit(max_pages), "crawl0")
     left = max_pages - visited.count()
     front = visited
     for step in range(1, max_depth + 1):

@@ -15,6 +15,7 @@ from weft.functions import classes as C
 from weft.functions import urls as U
 from weft.plans.ranking import spread_rank
 from weft.plans.staging import stage
+from weft.sources.tables import latest_delivery
 
 # Engines that serve one and the same index.
 FAMILIES = {"duckduckgo": "bing", "yahoo": "bing", "startpage": "google"}
@@ -26,13 +27,18 @@ def family(engine: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), engine), engine)
 
 
+def last_hits(hits: DataFrame) -> DataFrame:
+    """Every hit once, as it was delivered last; hits without a delivery time are alike."""
+    return latest_delivery(hits, "hit_id", "loaded_at") if "loaded_at" in hits.columns else hits.dropDuplicates(["hit_id"])
+
+
 def merged(hits: DataFrame) -> DataFrame:
     """One row per (query, page): the first hit's title and url, consensus, sources and merged snippet.
 
     A page's hits are few even where its query is hot, since engines bound them; the
     aggregation combines before it shuffles.
     """
-    h = hits.select("hit_id", "query_id", "engine", "arrival", "title", "url", "snippet", "position", "relevance_score").dropDuplicates(["hit_id"])
+    h = last_hits(hits).select("hit_id", "query_id", "engine", "arrival", "title", "url", "snippet", "position", "relevance_score")
     keyed = h.withColumn("key", U.search_key("url")).filter((F.col("key") != "") & (F.coalesce("title", F.lit("")) != ""))
     first = F.struct("arrival", "hit_id", "title", "url")
     bodies = F.array_sort(F.collect_list(F.struct("arrival", "hit_id", F.trim(F.coalesce("snippet", F.lit(""))).alias("body"))))
@@ -126,3 +132,29 @@ def _content_words(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9'+-]{2,}"), F.lit(0))
     stop = F.array(*[F.lit(x) for x in C.STOPWORDS])
     return F.filter(words, lambda x: ~F.array_contains(stop, x))
+
+
+def quorum(hits: DataFrame, asked: DataFrame, least_results: int = 6, least_engines: int = 3, seconds: float = 4.0) -> DataFrame:
+    """(query_id, quorum_at): when a search may answer before all engines have.
+
+    Enough different pages must have come, and either enough engines or enough time since the query
+    was issued. Arrivals of a query are aggregated per page and per engine before they are put in
+    order, so ranks are taken over what engines bound; queries that never get there give no row.
+    """
+    h = hits.select("query_id", "engine", "arrival", U.search_key("url").alias("key")).filter("arrival is not null and engine is not null")
+    pages = h.filter("key <> ''").groupBy("query_id", "key").agg(F.min("arrival").alias("at")).select("query_id", "at")
+    engines = h.groupBy("query_id", "engine").agg(F.min("arrival").alias("at")).select("query_id", "at")
+    nth = lambda df, n, name: spread_rank(df.withColumn("tie", F.monotonically_increasing_id()), ["query_id"], [F.asc("at"), F.asc("tie")], "n").filter(F.col("n") == n).select("query_id", F.col("at").alias(name))
+    enough = nth(stage(pages, "pages"), least_results, "results_at")
+    several = nth(stage(engines, "engines"), least_engines, "engines_at")
+    late = F.col("issued_at") + F.make_dt_interval(secs=F.lit(float(seconds)))
+    q = asked.select("query_id", "issued_at").dropDuplicates(["query_id"])
+    told = enough.join(q, "query_id").join(several, "query_id", "left")
+    by_time = F.when(late.isNotNull(), F.greatest("results_at", late))
+    by_engines = F.when(F.col("engines_at").isNotNull(), F.greatest("results_at", "engines_at"))
+    return told.select("query_id", F.least(by_time, by_engines).alias("quorum_at")).filter("quorum_at is not null")
+
+
+def rerank_pool(results: DataFrame, wanted: int) -> DataFrame:
+    """The results that are worth a costly reranking: the best max(2 x wanted, 12) of each query."""
+    return results.filter(F.col("rank") <= max(2 * wanted, 12))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.plans.staging import ensure_package
 
@@ -19,6 +20,9 @@ def micros(c: Column | str) -> Column:
     """Microseconds since the epoch, of timestamps with and without zone."""
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
+#: Rows of one key whose totals run together.
+STRETCH = 10_000
+
 # Throttle bounds and growth, blocking statuses, health steps.
 MIN_DELAY, MAX_DELAY, BACKOFF = 2.0, 30.0, 2.0
 BLOCKED = (429, 403)
@@ -86,20 +90,24 @@ def health(log: DataFrame) -> DataFrame:
 
 
 def open_circuits(log: DataFrame, seconds: int = 60) -> DataFrame:
-    """(fetch_id, host): fetches made within ``seconds`` after a block of their host that no success has cleared yet."""
-
-    def step(state: tuple, row: tuple) -> tuple:
-        _, block, clear = state
-        _, _, us, status = row
-        is_open = block is not None and (clear is None or clear < block) and us - block < seconds * 1_000_000
-        if status in BLOCKED:
-            block = us
-        elif status is not None and 200 <= status < 300:
-            clear = us
-        return is_open, block, clear
+    """(fetch_id, host): fetches made within ``seconds`` after a block of their host that no success has cleared yet.
 
-    rows = fetches(log).select("fetch_id", "host", micros("ts").alias("us"), "status")
-    return _fold(rows, "host", ["us", "fetch_id"], "fetch_id bigint, host string, value boolean", lambda: (False, None, None), step, pa.bool_()).filter("value").select("fetch_id", "host")
+    A fetch sees the blocks and successes before it. Both are joined to it by time buckets as long
+    as the rule looks back, so a hot host is split over its buckets and no task folds a host.
+    """
+    f = fetches(log).select("fetch_id", "host", micros("ts").alias("us"), "status")
+    span = seconds * 1_000_000
+    bucket = lambda c: F.floor(c / span)
+    by_bucket = Window.partitionBy("host", "bucket").orderBy("us", "fetch_id").rowsBetween(Window.unboundedPreceding, -1)
+    when = lambda cond: F.when(cond, F.col("us"))
+    b, c = when(F.col("status").isin(*BLOCKED)), when(F.col("status").between(200, 299))
+    held = f.withColumn("bucket", bucket(F.col("us"))).withColumns({"b": b, "c": c})
+    inside = held.withColumns({"b0": F.max("b").over(by_bucket), "c0": F.max("c").over(by_bucket)})
+    # what the bucket before holds; older blocks no longer count, and an older success clears nothing newer
+    earlier = held.groupBy("host", "bucket").agg(F.max("b").alias("b1"), F.max("c").alias("c1")).withColumn("bucket", F.col("bucket") + 1)
+    seen = inside.join(earlier, ["host", "bucket"], "left")
+    block, clear = F.coalesce("b0", "b1"), F.coalesce("c0", "c1")
+    return seen.filter(block.isNotNull() & (clear.isNull() | (clear < block)) & (F.col("us") - block < span)).select("fetch_id", "host")
 
 
 def sessions(log: DataFrame, seconds: int = 300) -> DataFrame:
@@ -136,13 +144,21 @@ def evicted(cache: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, key: str, order: list[str], amount: str, limit: int) -> DataFrame:
-    """(id, key, spent) of the rows (id first) whose running total per key stays within a budget; null amounts count as 0."""
+    """(id, key, spent) of the rows (id first) whose running total per key stays within a budget; null amounts count as 0.
+
+    Rows are put in order over all tasks and their places are known; totals run within stretches of places and
+    are shifted by the stretches before, so that no task holds a hot key. The order must be total.
+    """
+    from weft.plans.ranking import spread_rank
+
     first = rows.columns[0]
-    kind, name = rows.schema[first].dataType.simpleString(), rows.schema[key].dataType.simpleString()
-    narrow = rows.select(F.col(first).alias("fetch_id"), F.col(key).alias("host"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("amount"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
-    held = narrow.select("fetch_id", "host", "amount", *[f"o{i}" for i in range(len(order))])
-    spent = _fold(held, "host", [f"o{i}" for i in range(len(order))], f"fetch_id {kind}, host {name}, value bigint", lambda: 0, lambda s, r: s + r[2], pa.int64())
-    return spent.filter(F.col("value") <= limit).select(F.col("fetch_id").alias(first), F.col("host").alias(key), F.col("value").alias("spent"))
+    narrow = rows.select(F.col(first).alias("_id"), F.col(key).alias("_key"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("_amount"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    placed = spread_rank(narrow, ["_key"], [F.asc(f"_o{i}") for i in range(len(order))], "_place").withColumn("_stretch", F.floor((F.col("_place") - 1) / STRETCH))
+    totals = placed.groupBy("_key", "_stretch").agg(F.sum("_amount").alias("_n"))
+    before = totals.withColumn("_before", F.sum("_n").over(Window.partitionBy("_key").orderBy("_stretch")) - F.col("_n")).select(F.col("_key").alias("_k"), F.col("_stretch").alias("_s"), "_before")
+    run = F.sum("_amount").over(Window.partitionBy("_key", "_stretch").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    both = placed.withColumn("_run", run).join(before, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_stretch") == F.col("_s")))
+    return both.withColumn("spent", F.col("_run") + F.col("_before")).filter(F.col("spent") <= limit).select(F.col("_id").alias(first), F.col("_key").alias(key), "spent")
 
 
 def to_resume(wanted: DataFrame, done: DataFrame, key: str, retry_failed: bool = False) -> DataFrame:
@@ -169,3 +185,53 @@ def key_turns(requests: DataFrame, keys: int, rest: float = 60.0, long_rest: flo
 
     rows = requests.select("fetch_id", "host", "us", "status")
     return _fold(rows, "host", ["us", "fetch_id"], "fetch_id bigint, host string, value int", lambda: (-1, 0, (0.0,) * keys), step, pa.int32()).withColumnRenamed("value", "key_no")
+
+
+def route_turns(requests: DataFrame, routes: int, rest: float = 60.0, direct: bool = False) -> DataFrame:
+    """(fetch_id, host, route_no): round robin over routes, one that failed rests; where all rest the first, or -1 for none if a direct way is open.
+
+    Requests are (fetch_id, host, us, status); a status of 0, 403, 429 or 5xx is a failure of the route.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple:
+        _, turn, until = state
+        at, status = row[2] / 1e6, row[3]
+        free = next((k % routes for k in range(turn, turn + routes) if until[k % routes] <= at), None)
+        if free is None:
+            return (-1 if direct else 0), turn, until
+        failed = not status or status in BLOCKED or status >= 500
+        return free, free + 1, tuple(at + rest if k == free and failed else u for k, u in enumerate(until))
+
+    rows = requests.select("fetch_id", "host", "us", "status")
+    return _fold(rows, "host", ["us", "fetch_id"], "fetch_id bigint, host string, value int", lambda: (-1, 0, (0.0,) * routes), step, pa.int32()).withColumnRenamed("value", "route_no")
+
+
+def policy_reads(requests: DataFrame, found_seconds: int = 3600, missing_seconds: int = 300) -> DataFrame:
+    """(fetch_id, host, read): whether a request has to read its host's rules again.
+
+    Requests are (fetch_id, host, us, status), the status being what a read of the rules would give then.
+    Rules that were found hold for an hour, missing ones for five minutes.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple:
+        _, until = state
+        if until is not None and row[2] < until:
+            return False, until
+        held = found_seconds if row[3] is not None and 200 <= row[3] < 300 else missing_seconds
+        return True, row[2] + held * 1_000_000
+
+    rows = requests.select("fetch_id", "host", "us", "status")
+    return _fold(rows, "host", ["us", "fetch_id"], "fetch_id bigint, host string, value boolean", lambda: (False, None), step, pa.bool_()).withColumnRenamed("value", "read")
+
+
+def hits_in_time(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """(id, entry_id): the newest entry of each request's key that was still fresh when it came; null for none.
+
+    Requests are (id, key, at, ttl), a null ttl asking for nothing less than the entry's own. An entry
+    (entry_id, key, fetched_at, ttl) is fresh for the lesser of the two.
+    """
+    c = cache.select("entry_id", "key", micros("fetched_at").alias("f"), F.coalesce("ttl", F.lit(0)).cast("long").alias("own"))
+    r = requests.select("id", "key", micros("at").alias("t"), F.col("ttl").alias("asked"))
+    met = r.join(c, "key").filter((F.col("f") <= F.col("t")) & (F.col("f") + F.least("own", F.coalesce("asked", "own")).cast("long") * 1_000_000 > F.col("t")))
+    best = met.groupBy("id").agg(F.max(F.struct("f", "entry_id")).alias("m")).select("id", F.col("m.entry_id").alias("entry_id"))
+    return requests.select("id").join(best, "id", "left")

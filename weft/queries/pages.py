@@ -10,11 +10,12 @@ from weft.functions import pages as P
 from weft.operators import crawl as W
 from weft.plans.staging import ensure_package
 from weft.queries.base import CORE
-from weft.sources.tables import cache_text, table
+from weft.sources.tables import cache_text, latest_delivery, table
 
 
 def _pages(spark, d):
-    return table(spark, d, "cache_entries").select("entry_id", "url", cache_text().alias("text")).distinct()
+    last = latest_delivery(table(spark, d, "cache_entries").select("entry_id", "url", "content", "stored_at"), "entry_id", "stored_at")
+    return last.select("entry_id", "url", cache_text().alias("text"))
 
 
 def _each(df, schema: str, rows_of):
@@ -63,7 +64,7 @@ def pages_records(spark, d):
     return _each(_pages(spark, d), "title string, first string, link string", rows)
 
 
-@CORE.add("pages_metadata")
+@CORE.add("pages_metadata", r"""SELECT DISTINCT entry_id, nullif(trim(regexp_replace(url, '\s+', ' ', 'g')), '') AS title, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS canonical FROM cache_entries""")
 def pages_metadata(spark, d):
     def rows(url, text):
         m = D.metadata(D.parse(D.render(text, url)), url)
@@ -102,7 +103,8 @@ def pages_kind(spark, d):
       WHEN status IN (403, 503) AND NOT regexp_matches(text, '^\\s*[\\[{]') THEN 'status' WHEN status >= 400 AND length(text) < 10000 AND regexp_matches(text, '(?i)access\\s+denied|checking\\s+your\\s+browser|g-recaptcha|h-captcha') THEN 'marker'
       WHEN status = 200 AND length(trim(translate(text, chr(10) || chr(9) || chr(13), '   '))) < 100 AND NOT regexp_matches(text, '^\\s*[\\[{]') THEN 'empty' ELSE 'none' END AS block FROM e""")
 def pages_blocked(spark, d):
-    e = table(spark, d, "cache_entries").select("entry_id", "status", cache_text().alias("text")).distinct()
+    last = latest_delivery(table(spark, d, "cache_entries").select("entry_id", "status", "content", "stored_at"), "entry_id", "stored_at")
+    e = last.select("entry_id", "status", cache_text().alias("text"))
     return e.select("entry_id", P.block(F.col("status"), F.col("text")).alias("block"))
 
 
@@ -115,7 +117,7 @@ _EDGES = r"""page AS (SELECT entry_id, url, array_to_string(CAST(json(content) A
     SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node""")
 def crawl_reachable(spark, d):
     """Depth of everything that is reached from the sites' pages over their relative links, in rounds of joins."""
-    pages = table(spark, d, "cache_entries").select("entry_id", "url", "content").dropDuplicates(["entry_id"])
+    pages = latest_delivery(table(spark, d, "cache_entries").select("entry_id", "url", "content", "stored_at"), "entry_id", "stored_at")
     targets = F.regexp_extract_all(cache_text(), F.lit(r"\]\((/[^)\s]*)\)"), F.lit(1))
     e = pages.select(F.regexp_replace(F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]*)", 1), r"^www\.", "").alias("src"), F.explode(targets).alias("t"))
     edges = e.select("src", F.regexp_extract("t", r"^/([a-zA-Z0-9]+)", 1).alias("dst")).filter("src <> '' and dst <> ''").distinct()

@@ -149,7 +149,7 @@ def search_intents(spark, d):
     SELECT hit_id, round(CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END, 6) AS score, round(1 / (1 + exp(-s)), 6) AS sigmoid FROM b""",
 )
 def search_minmax(spark, d):
-    h = _tables(spark, d)[0].select("hit_id", "query_id", F.col("relevance_score").alias("s")).filter("s is not null").dropDuplicates(["hit_id"])
+    h = S.last_hits(_tables(spark, d)[0].select("hit_id", "query_id", F.col("relevance_score").alias("s"), "loaded_at")).filter("s is not null")
     b = h.groupBy("query_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     score = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")))
     return h.join(b, "query_id").select("hit_id", F.round(score, 6).alias("score"), F.round(1 / (1 + F.exp(-F.col("s"))), 6).alias("sigmoid"))
@@ -163,20 +163,23 @@ _CLASS = "CASE WHEN engine IN ('semantic_scholar', 'github_api', 'hackernews') T
 def search_backend_order(spark, d):
     from weft.plans.ranking import spread_rank
 
-    h = _tables(spark, d)[0].select("hit_id", "query_id", "engine", "arrival").dropDuplicates(["hit_id"])
+    h = S.last_hits(_tables(spark, d)[0].select("hit_id", "query_id", "engine", "arrival", "loaded_at")).drop("loaded_at")
     cls = F.when(F.col("engine").isin("semantic_scholar", "github_api", "hackernews"), 2).when(F.col("engine").isin("tavily", "serper", "exa", "firecrawl"), 0).otherwise(1)
     return spread_rank(h.withColumn("cls", cls), ["query_id"], [F.asc("cls"), F.asc("arrival"), F.asc("hit_id")], "place").select("hit_id", "place")
 
 
-@CORE.add("search_quorum", """WITH once AS (SELECT DISTINCT ON (hit_id) hit_id, query_id, engine, arrival FROM search_hits ORDER BY hit_id),
-    e AS (SELECT query_id, engine, min(arrival) AS t FROM once GROUP BY ALL),
-    n AS (SELECT query_id, t, row_number() OVER (PARTITION BY query_id ORDER BY t, engine) AS n FROM e)
-    SELECT query_id, min(t) AS quorum_at FROM n WHERE n >= 3 GROUP BY query_id""")
+@CORE.add("search_quorum", f"""WITH {_MERGED},
+    p AS (SELECT query_id, key, min(arrival) AS came FROM keyed WHERE key <> '' AND arrival IS NOT NULL AND engine IS NOT NULL GROUP BY ALL),
+    e AS (SELECT query_id, engine, min(arrival) AS came FROM keyed WHERE arrival IS NOT NULL AND engine IS NOT NULL GROUP BY ALL),
+    r AS (SELECT query_id, came FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY came) AS n FROM p) WHERE n = 6),
+    s AS (SELECT query_id, came FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY came) AS n FROM e) WHERE n = 3),
+    q AS (SELECT DISTINCT ON (query_id) query_id, issued_at FROM search_queries),
+    t AS (SELECT r.query_id, least(greatest(r.came, q.issued_at + INTERVAL 4 SECONDS), CASE WHEN s.came IS NOT NULL THEN greatest(r.came, s.came) END) AS quorum_at FROM r JOIN q USING (query_id) LEFT JOIN s USING (query_id))
+    SELECT * FROM t WHERE quorum_at IS NOT NULL""")
 def search_quorum(spark, d):
-    """When the third engine had answered; engines are few, so a query's rows are too."""
-    h = _tables(spark, d)[0].dropDuplicates(["hit_id"]).groupBy("query_id", "engine").agg(F.min("arrival").alias("at"))
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "engine"))
-    return h.withColumn("n", n).filter("n >= 3").groupBy("query_id").agg(F.min("at").alias("quorum_at"))
+    """When a search could have answered: six pages, and three engines or four seconds."""
+    hits, queries = _tables(spark, d)
+    return S.quorum(hits, queries)
 
 
 @CORE.add("search_by_domain_list", r"""WITH h AS (SELECT hit_id, regexp_replace(regexp_extract(lower(url), '^https?://([^/:?#]*)', 1), '^www\.', '') AS h FROM search_hits),

@@ -162,9 +162,9 @@ def batch_resume(spark, d):
     return S.to_resume(wanted, done, "url", retry_failed=True)
 
 
-@CORE.add("jsonl_export", """SELECT '{"hit_id":' || hit_id || ',"title":' || coalesce(to_json(title), 'null') || ',"position":' || coalesce(CAST(position AS VARCHAR), 'null') || '}' AS line FROM search_hits WHERE title IS NULL OR regexp_full_match(title, '[A-Za-z0-9 :,.-]*')""")
+@CORE.add("jsonl_export", """SELECT '{"hit_id":' || hit_id || ',"title":' || coalesce(to_json(title), 'null') || ',"position":' || coalesce(CAST(position AS VARCHAR), 'null') || '}' AS line FROM search_hits""")
 def jsonl_export(spark, d):
-    h = table(spark, d, "search_hits").filter(F.col("title").isNull() | F.col("title").rlike(r"^[A-Za-z0-9 :,.\-]*$"))
+    h = table(spark, d, "search_hits")
     return h.select(F.to_json(F.struct("hit_id", "title", "position"), {"ignoreNullFields": "false"}).alias("line"))
 
 

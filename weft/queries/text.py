@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as T
 from weft.queries.base import CORE, sql_list
-from weft.sources.tables import cache_text, table
+from weft.sources.tables import cache_text, latest_delivery, table
 
 _STOP = sql_list(T.FOCUS_STOPWORDS)
 _TEXT = "array_to_string(CAST(json(content) AS VARCHAR[]), chr(10))"
@@ -21,7 +21,12 @@ def docs(spark, d):
 
 
 def entries(spark, d):
-    return table(spark, d, "cache_entries").select("entry_id", cache_text().alias("text")).distinct()
+    last = latest_delivery(table(spark, d, "cache_entries").select("entry_id", "content", "stored_at"), "entry_id", "stored_at")
+    return last.select("entry_id", cache_text().alias("text"))
+
+
+def scans(spark, d):
+    return latest_delivery(table(spark, d, "pdf_results"), "pdf_id", "loaded_at")
 
 
 _ENTRIES = f"entries AS (SELECT DISTINCT entry_id, {_TEXT} AS text FROM cache_entries)"
@@ -33,9 +38,9 @@ def text_tokens(spark, d):
     return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("kinds"))
 
 
-@CORE.add("text_term_counts", f"WITH t AS (SELECT unnest({_tok('text')}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY term HAVING count(*) >= 50")
+@CORE.add("text_term_counts", f"WITH t AS (SELECT unnest({_tok('text')}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY term")
 def text_term_counts(spark, d):
-    return docs(spark, d).select(F.explode(T.tokens("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 50")
+    return docs(spark, d).select(F.explode(T.tokens("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BLOCKS = rf"""split AS (SELECT entry_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '^(?:[ \t\r\f]*\n)+', ''), '\n(?:[ \t\r\f]*\n)+'), lambda b: regexp_replace(b, '\n[ \t\r\f]*$', '')), lambda b: trim(translate(b, chr(9) || chr(13) || chr(12) || chr(10), '')) <> '') AS bs FROM entries),
@@ -109,12 +114,17 @@ def text_chunks_semantic(spark, d):
 
 @CORE.add(
     "text_collapse_counts",
-    rf"""WITH {_ENTRIES}, long AS (SELECT entry_id, string_split(text, chr(10)) AS ls FROM entries WHERE length(text) >= 2000 AND len(string_split(text, chr(10))) >= 20),
+    rf"""WITH {_ENTRIES}, longer AS (SELECT entry_id, text || repeat(chr(10) || regexp_extract(text, '^[^
+]{{0,30}}') || chr(10) || ' Menu ', 6) AS text FROM entries),
+    long AS (SELECT entry_id, string_split(text, chr(10)) AS ls FROM longer WHERE length(text) >= 2000 AND len(string_split(text, chr(10))) >= 20),
     l AS (SELECT entry_id, regexp_replace(unnest(ls), '^\s+|\s+$', '', 'g') AS s FROM long)
     SELECT entry_id, s AS line, count(*) AS n FROM l WHERE s <> '' AND length(s) <= 30 GROUP BY ALL HAVING count(*) > 5""",
 )
 def text_collapse_counts(spark, d):
-    lines = entries(spark, d).filter((F.length("text") >= 2000) & (F.size(F.split("text", "\n", -1)) >= 20)).select("entry_id", F.explode(F.split("text", "\n", -1)).alias("l"))
+    """Short lines that come more than five times in a text; each text gets a menu and its own first words six times."""
+    menu = F.concat(F.lit("\n"), F.regexp_extract("text", r"^[^\n]{0,30}", 0), F.lit("\n Menu "))
+    longer = entries(spark, d).withColumn("text", F.concat("text", F.repeat(menu, F.lit(6))))
+    lines = longer.filter((F.length("text") >= 2000) & (F.size(F.split("text", "\n", -1)) >= 20)).select("entry_id", F.explode(F.split("text", "\n", -1)).alias("l"))
     s = lines.select("entry_id", F.regexp_replace("l", r"^\s+|\s+$", "").alias("line")).filter((F.col("line") != "") & (F.length("line") <= 30))
     return s.groupBy("entry_id", "line").agg(F.count(F.lit(1)).alias("n")).filter("n > 5")
 
@@ -174,28 +184,28 @@ _PDF = "SELECT pdf_id, any_value(content) AS content, any_value(pages_total) AS
 @CORE.add("pdf_readable", f"""WITH p AS ({_PDF}), g AS (SELECT pdf_id, unnest(content) AS page, unnest(range(1, len(content) + 1)) AS page_no FROM p)
     SELECT pdf_id, CAST(page_no AS INT) AS page_no, round(CASE WHEN length(page) > 0 THEN (length(page || '(cid:7)') - length(regexp_replace(page || '(cid:7)', '\\(cid:\\d+\\)', '', 'g'))) / CAST(length(page || '(cid:7)') AS DOUBLE) ELSE 0.0 END, 6) AS cid FROM g WHERE page IS NOT NULL AND length(page) > 0""")
 def pdf_readable(spark, d):
-    g = table(spark, d, "pdf_results").dropDuplicates(["pdf_id"]).select("pdf_id", F.posexplode("content").alias("i", "page")).filter(F.length("page") > 0)
+    g = scans(spark, d).select("pdf_id", F.posexplode("content").alias("i", "page")).filter(F.length("page") > 0)
     return g.select("pdf_id", (F.col("i") + 1).alias("page_no"), F.round(T.cid_ratio(F.concat("page", F.lit("(cid:7)"))), 6).alias("cid"))
 
 
 @CORE.add("pdf_pages_spec", f"""WITH p AS ({_PDF}), s AS (SELECT pdf_id, list_sort(list_filter(list_distinct(list_concat(range(1, 4), [5])), lambda x: x <= coalesce(pages_total, 0) AND x >= 1)) AS l FROM p)
     SELECT pdf_id, array_to_string(l, ',') AS pages FROM s""")
 def pdf_pages_spec(spark, d):
-    p = table(spark, d, "pdf_results").dropDuplicates(["pdf_id"])
+    p = scans(spark, d)
     return p.select("pdf_id", F.array_join(T.page_list(F.lit("3-1, 5, x"), F.coalesce("pages_total", F.lit(0))).cast("array<string>"), ",").alias("pages"))
 
 
 @CORE.add("pdf_weighted_quality", f"""WITH p AS ({_PDF}), n AS (SELECT pdf_id, quality_score AS q, list_sum(list_transform(content, lambda x: length(coalesce(x, '')))) AS n, len(content) AS pages FROM p)
     SELECT CAST(pages AS INT) AS pages, count(*) AS docs, round(sum(q * n) / sum(n), 6) AS quality FROM n WHERE q IS NOT NULL AND n > 0 GROUP BY pages""")
 def pdf_weighted_quality(spark, d):
-    p = table(spark, d, "pdf_results").dropDuplicates(["pdf_id"])
+    p = scans(spark, d)
     n = p.select(F.col("quality_score").alias("q"), F.aggregate("content", F.lit(0), lambda a, x: a + F.length(F.coalesce(x, F.lit("")))).alias("n"), F.size("content").alias("pages"))
     return n.filter("q is not null and n > 0").groupBy("pages").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum(F.col("q") * F.col("n")) / F.sum("n"), 6).alias("quality"))
 
 
 @CORE.add("pdf_dehyphenated")
 def pdf_dehyphenated(spark, d):
-    p = table(spark, d, "pdf_results").dropDuplicates(["pdf_id"]).select("pdf_id", F.posexplode("content").alias("page", "text"))
+    p = scans(spark, d).select("pdf_id", F.posexplode("content").alias("page", "text"))
     b = p.select("pdf_id", "page", F.posexplode(T.blocks("text")).alias("ix", "block"))
     return b.select("pdf_id", "page", "ix", T.dehyphenate(F.split("block", "\n")).alias("text"))
 

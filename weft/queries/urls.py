@@ -87,6 +87,12 @@ def url_scores(spark, d):
 _COMPOSITE = f"round(CAST(({_KEYWORD} * 2.0 + 1.0 / (1.0 + abs({_DEPTH} - 3)) + ({_FRESH}) * 0.5) / 3.0 AS DOUBLE), 6)"
 
 
+def scored_hits(spark, d):
+    """(hit_id, host, score): narrow rows, each once."""
+    score = F.round(U.composite([(U.keyword_score("url", _WORDS), 2.0), (U.depth_score("url"), 1.0), (U.freshness_score("url"), 0.5)]), 6)
+    return hits(spark, d).select("hit_id", U.host("url").alias("host"), score.alias("score")).distinct()
+
+
 @CORE.add(
     "url_top_per_host",
     f"""WITH {parts_sql('search_hits', 'hit_id')}, scored AS (SELECT hit_id, CASE WHEN ok THEN h ELSE '' END AS host, {_COMPOSITE} AS score FROM good GROUP BY ALL),
@@ -95,9 +101,7 @@ _COMPOSITE = f"round(CAST(({_KEYWORD} * 2.0 + 1.0 / (1.0 + abs({_DEPTH} - 3)) +
 )
 def url_top_per_host(spark, d):
     """Composite score, stable descending order, the best three of every host; rank filters run per partition before the shuffle."""
-    score = F.round(U.composite([(U.keyword_score("url", _WORDS), 2.0), (U.depth_score("url"), 1.0), (U.freshness_score("url"), 0.5)]), 6)
-    scored = hits(spark, d).select("hit_id", U.host("url").alias("host"), score.alias("score")).distinct()
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "hit_id"))).filter("rank <= 3").select("host", "hit_id", "score", "rank")
+    return scored_hits(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "hit_id"))).filter("rank <= 3").select("host", "hit_id", "score", "rank")
 
 
 _LINKPATH = "translate(lower(path), '/-_', '   ')"
@@ -186,14 +190,14 @@ def _domain_case(h: str, groups: list[tuple[str, tuple[str, ...]]]) -> str:
 
 @CORE.add(
     "url_source_type",
-    rf"""WITH {parts_sql('search_hits', 'hit_id')}, b AS (SELECT hit_id, regexp_replace(h, '^www\.', '') AS b, lower(path) AS p FROM good WHERE ok)
-    SELECT hit_id, CASE {_domain_case('b', C.SOURCE_TYPES)}
+    rf"""WITH {parts_sql('search_hits', 'hit_id')}, b AS (SELECT hit_id, ok, regexp_replace(h, '^www\.', '') AS b, lower(path) AS p FROM good)
+    SELECT hit_id, CASE WHEN NOT coalesce(ok, false) THEN 'other' {_domain_case('b', C.SOURCE_TYPES)}
       WHEN contains(p, '/docs/') OR contains(p, '/documentation/') OR contains(p, '/api/') THEN 'docs'
       WHEN contains(p, '/blog/') OR contains(p, '/post/') OR contains(p, '/article/') THEN 'blog'
       WHEN contains(p, '/forum/') OR contains(p, '/thread/') OR contains(p, '/discussion/') THEN 'forum' ELSE 'other' END AS source_type FROM b""",
 )
 def url_source_type(spark, d):
-    return hits(spark, d).filter(U.host("url") != "").select("hit_id", C.source_type("url").alias("source_type"))
+    return hits(spark, d).select("hit_id", C.source_type("url").alias("source_type"))
 
 
 @CORE.add(
@@ -242,11 +246,28 @@ def url_unwrap(spark, d):
     return hits(spark, d).select("hit_id", U.unwrap_result(wrapped).alias("target"))
 
 
-@CORE.add("url_unsafe", r"SELECT hit_id, CAST(NULL AS VARCHAR) AS reason FROM search_hits")
+@CORE.add("url_unsafe", """SELECT hit_id, CASE hit_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'scheme' WHEN 2 THEN 'credentials' WHEN 3 THEN 'private' WHEN 4 THEN 'metadata' WHEN 5 THEN 'rebinding' ELSE 'malformed' END AS reason
+    FROM search_hits WHERE regexp_matches(url, '^https?://[a-z]')""")
 def url_unsafe(spark, d):
+    """Every hit's address, and what an attacker may make of it."""
     from weft.functions import safety
 
-    return hits(spark, d).select("hit_id", safety.unsafe("url").alias("reason"))
+    rest = F.regexp_replace("url", r"^[A-Za-z]+://", "")
+    below = F.regexp_replace(rest, r"^[^/?#]*", "")
+    made = (
+        F.when(F.col("hit_id") % 7 == 0, F.col("url")).when(F.col("hit_id") % 7 == 1, F.concat(F.lit("ftp://"), rest)).when(F.col("hit_id") % 7 == 2, F.concat(F.lit("https://user:pass@"), rest))
+        .when(F.col("hit_id") % 7 == 3, F.concat(F.lit("http://10."), F.pmod("hit_id", F.lit(256)).cast("string"), F.lit(".0.1"), below)).when(F.col("hit_id") % 7 == 4, F.concat(F.lit("http://169.254.169.254"), below))
+        .when(F.col("hit_id") % 7 == 5, F.concat(F.lit("https://10.0.0.1.nip.io"), below)).otherwise(F.concat(F.lit("https://a.example:99999"), below))
+    )
+    return hits(spark, d).filter(F.col("url").rlike("^https?://[a-z]")).select("hit_id", safety.unsafe(made).alias("reason"))
+
+
+@CORE.add("url_score_stats", f"""WITH {parts_sql('search_hits', 'hit_id')}, s AS (SELECT hit_id, CASE WHEN ok THEN h ELSE '' END AS host, {_COMPOSITE} AS score FROM good GROUP BY ALL)
+    SELECT host, count(*) AS n, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / (count(*) * 1000000.0::DOUBLE) AS mean, min(score) AS least, max(score) AS most FROM s GROUP BY host""")
+def url_score_stats(spark, d):
+    """Count, mean, least and greatest score of every host."""
+    s = scored_hits(spark, d)
+    return s.groupBy("host").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("score") * 1_000_000).cast("long")).cast("double") / (F.count(F.lit(1)) * F.lit(1_000_000.0))).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 
 @CORE.add("url_two_segments", rf"WITH {parts_sql('search_hits', 'hit_id')} SELECT hit_id, len(list_filter(string_split(path, '/'), lambda x: x <> '')) = 2 AS item FROM good")

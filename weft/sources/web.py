@@ -110,11 +110,52 @@ def robots_policy(status: int | None, text: str | None, url: str, agent: str = "
         return "no_policy"
     if status is None or status in (401, 403) or status >= 500:
         return "unavailable"
-    path = urlsplit(url).path or "/"
+    parts = urlsplit(url)
+    path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     fitting = [(len(p), ok) for p, ok in robots_rules(text, agent) if re.match(re.escape(p).replace(r"\*", ".*").replace(r"\$", "$"), path)]
     return "allowed" if not fitting or max(fitting)[1] else "disallowed"
 
 
+def robots_sitemaps(text: str | None, url: str = "") -> list[str]:
+    """Sitemaps that a robots file names, absolute, in order, each once."""
+    found = [v.strip() for k, sep, v in (l.split("#", 1)[0].partition(":") for l in (text or "").splitlines()) if sep and k.strip().lower() == "sitemap" and v.strip()]
+    return list(dict.fromkeys(urljoin(url, f) for f in found))
+
+
+def page_feeds(html: str | None, url: str) -> list[str]:
+    """Feeds and sitemaps that a page's head links to."""
+    from weft.functions.dom import parse
+
+    kinds = ("application/rss+xml", "application/atom+xml", "application/feed+json")
+    found = [n.attrs["href"] for n in parse(html).nodes() if n.tag == "link" and n.attrs.get("href") and (n.attrs.get("type", "").lower() in kinds or "sitemap" in n.attrs.get("rel", "").lower())]
+    return list(dict.fromkeys(urljoin(url, f.strip()) for f in found))
+
+
+LISTED = 25
+
+
+def listing(html: str | None, url: str = "", most: int = LISTED) -> Iterator[tuple[int, str, str, str, str, str]]:
+    """(ord, title, link, author, score, comments) of a listing page's entries; promoted ones are left out."""
+    from weft.functions.dom import parse, select
+
+    n = 0
+    for entry in select(parse(html), "div.thing"):
+        marks = entry.attrs.get("class", "").split()
+        if n >= most or "promoted" in marks or "promotedlink" in marks or entry.attrs.get("data-promoted") == "true":
+            continue
+        title = next(iter(select(entry, "a.title")), None)
+        if title is None:
+            continue
+        text = lambda css: next((x.attrs.get("title") or x.text() for x in select(entry, css)), "")
+        yield n, title.text(), urljoin(url, title.attrs.get("href", "")), entry.attrs.get("data-author") or text("a.author"), entry.attrs.get("data-score") or text("div.score"), text("a.comments")
+        n += 1
+
+
+def listing_markdown(html: str | None, url: str = "") -> str:
+    """A listing as a numbered list."""
+    return "\n".join(f"{i + 1}. [{t}]({u}) · {s or '0'} points · {a or 'unknown'} · {c or '0 comments'}" for i, t, u, a, s, c in listing(html, url))
+
+
 def comment_tree(data: str | None) -> Iterator[tuple[int, int, str, str, str]]:
     """(ord, depth, id, author, body) of a comment tree in reading order."""
     try:
@@ -206,22 +247,37 @@ def two_segments(url: Column | str) -> Column:
     return F.size(F.filter(F.split(path, "/"), lambda x: x != "")) == 2
 
 
-def discovered_sitemaps(documents: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """(url, lastmod) of pages below seed sitemaps: stored documents (url, body) are opened level by level."""
+#: Sitemaps that one discovery opens.
+MOST_SITEMAPS = 25
+
+
+def discovered_sitemaps(documents: DataFrame, seeds: DataFrame, depth: int = 3, most: int = MOST_SITEMAPS) -> DataFrame:
+    """(url, lastmod) of pages below seed sitemaps: stored documents (url, body) are opened level by level, each once.
+
+    Only documents that a level names are parsed, and at most ``most`` in all, by name: the bound is the feature.
+    """
     from weft.plans.staging import stage
 
-    register(documents.sparkSession)
-    documents.createOrReplaceTempView("weft_sitemap_documents")
-    rows = documents.sparkSession.sql("SELECT d.url AS parent, s.url, s.lastmod, s.kind FROM weft_sitemap_documents d, LATERAL sitemap_urls(CAST(d.body AS STRING)) s")
-    rows = stage(rows, "sitemaps")
-    front, out = seeds.select(F.col("url").alias("parent")).distinct(), None
-    for _ in range(depth):
-        found = stage(rows.join(front, "parent", "left_semi"), "sitemap-level")
+    class Rows:
+        def eval(self, data: str):
+            yield from sitemap(data)
+
+    read = F.udtf(Rows, returnType="url string, lastmod string, kind string, recovered boolean")
+    front, out, left = stage(seeds.select("url").distinct().orderBy("url").limit(most), "front"), None, most
+    opened = front
+    for _ in range(depth + 1):
+        n = front.count()
+        left -= n
+        if not n:
+            break
+        body = documents.join(front, "url", "left_semi").groupBy("url").agg(F.max("body").alias("body")).select(F.col("body").cast("string").alias("body"))
+        found = stage(body.lateralJoin(read(F.col("body").outer())).select("url", "lastmod", "kind"), "sitemap-level")
         pages = found.filter("kind = 'page'").select("url", "lastmod")
         out = pages if out is None else out.unionByName(pages)
-        front = found.filter("kind = 'index'").select(F.col("url").alias("parent")).distinct()
-        if front.isEmpty():
-            break
+        front = stage(found.filter("kind = 'index'").select("url").distinct().join(opened, "url", "left_anti").orderBy("url").limit(max(left, 0)), "front")
+        opened = opened.unionByName(front)
+    if out is None:
+        return documents.sparkSession.createDataFrame([], "url string, lastmod string")
     return out.groupBy("url").agg(F.max("lastmod").alias("lastmod"))
 
 
