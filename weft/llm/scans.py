@@ -56,6 +56,16 @@ _ROMAN = re.compile(r"(?=[ivxl])(x{0,3}|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 _SKELETON = str.maketrans({"0": "o", "1": "i", "!": "i", "|": "i", "l": "i", "j": "i", "5": "s", "$": "s", "6": "b", "8": "b", "h": "b", "9": "g", "q": "g", "c": "e", "3": "e", "f": "t", "7": "t"})
 
 
+#: What glyphs come to when all that are taken for each other fall together: round ones, strokes (any number), and the rest.
+_STROKES = str.maketrans({**dict.fromkeys("0oeca34", "o"), **dict.fromkeys("1li!|jtf7rhbnu68m", "l"), "5": "s", "$": "s", "9": "g", "q": "g", "y": "v", "w": "vv", "d": "ol", "k": "lo", ".": "", "'": ""})
+_RUNS = re.compile(r"l{2,}")
+
+
+def strokes(w: str) -> str:
+    """A word's shape: no glyph edit changes it."""
+    return _RUNS.sub("l", plain(w).translate(_STROKES))
+
+
 def plain(s: str) -> str:
     """Without accents."""
     return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
@@ -133,6 +143,7 @@ class Lexicon:
         self._candidates: dict[str, tuple[str, ...]] = {}
         self._tokens: dict[str, tuple[str, bool, bool]] = {}
         self._shapes = None
+        self._of_strokes: set[str] | None = None
 
     def __getstate__(self):
         return self.counts, self.context, self.templates, self.rare
@@ -160,15 +171,21 @@ class Lexicon:
         got = self._candidates.get(w)
         if got is None:
             need = DOMINANCE * math.exp(-IN_FAVOUR) * self.times(w)
-            first = _edits(w)
+            first = _edits(w) if self.has_shape(w) else ()
             got = tuple(sorted({v for v in first if self.counts.get(v, 0) >= need}))
-            if not got and 4 <= len(w) <= 24:
+            if first and not got and 4 <= len(w) <= 24:
                 need = DOMINANCE * self.times(w)
                 got = tuple(sorted({v for f in first for v in _edits(f) if self.counts.get(v, 0) >= need and v != w}))
             if len(self._candidates) < 200_000:
                 self._candidates[w] = got
         return got
 
+    def has_shape(self, w: str) -> bool:
+        """Whether a known word has this shape, as every correction has."""
+        if self._of_strokes is None:
+            self._of_strokes = set(map(strokes, self.counts))
+        return strokes(w) in self._of_strokes
+
     def linked(self, w: str) -> tuple[str, ...]:
         """What ``w`` may have been printed as, whatever stands around it."""
         if len(w) < 2 or (_NUMERIC.fullmatch(w) and w not in ("i", "c")):
