@@ -153,16 +153,16 @@ def page_tree(text: str, site: str):
     heads, firsts = [], []
     none = [False] * len(keys)
     for i, f in enumerate(feats):
-        if f & 7 in (HEADING, ITEM, SHORT) and not f & _BYLINE:
-            at = items_under(feats, none, i)
+        if f & 7 in (HEADING, ITEM, SHORT) and not f & _BYLINE and i + 1 < len(feats) and (feats[i + 1] & _TITLE or feats[i + 1] & 7 == BLANK):
+            at = items_under(feats, none, i, 1)
             if at:
                 heads.append(keys[i])
                 firsts.append(keys[at[0]])
     return sig, body, keys, feats, labels, owners, heads, firsts
 
 
-def items_under(feats: list[int], out: list[bool], i: int) -> list[int]:
-    """The lines of a list that hangs on line ``i``: lines that read like titles, up to what is furniture of its own,
+def items_under(feats: list[int], out: list[bool], i: int, most: int | None = None) -> list[int]:
+    """The lines of a list (just the first ``most`` if asked) that hangs on line ``i``: lines that read like titles, up to what is furniture of its own,
     text, or a blank line behind which no list item goes on."""
     n, j, found = len(feats), i + 1, []
     while j < n:
@@ -182,6 +182,8 @@ def items_under(feats: list[int], out: list[bool], i: int) -> list[int]:
         if f & 7 == SHORT and not f & _LINKED and _heads_text(feats, out, j):
             break
         found.append(j)
+        if len(found) == most:
+            break
         j += 1
     return found
 
@@ -212,8 +214,8 @@ def trees(df: DataFrame, id_col: str, url_col: str, content_col: str, encoded: b
     return map_arrow(narrow, run, f"id {kind}, host bigint, sig bigint, body bigint, keys array<bigint>, feats array<int>, labels array<bigint>, owners array<int>, heads array<bigint>, firsts array<bigint>")
 
 
-def recurring(pages: DataFrame) -> DataFrame:
-    """(key, host): subtrees that recur over enough different articles; host is null where they do so over all hosts.
+def recurring(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, host) and the counts that they come from: subtrees that recur over enough different articles; host is null where they do so over all hosts.
 
     Each title and each article's paragraphs count once, however many pages show them;
     pages without an article don't count. The counts are taken over all pages, in two
@@ -238,20 +240,18 @@ def recurring(pages: DataFrame) -> DataFrame:
     own = of_host.filter(enough(0)).select("key", "host")
     wide = of_host.groupBy("key").agg(F.sum("titles").alias("titles"), F.count(F.lit(1)).alias("hosts")).filter((F.col("titles") >= need(1)) & (F.col("hosts") >= ALL_HOSTS)).select("key")
     over_all = counted(seen.join(wide, "key", "left_semi"), "key").filter(enough(1)).select("key", F.lit(None).cast("bigint").alias("host"))
-    return own.unionByName(over_all)
+    return own.unionByName(over_all), of_host
 
 
-def heading(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """(key): recurring lines under which, on most of their articles, items stand that differ from article to article.
+def heading(pages: DataFrame, of_host: DataFrame) -> DataFrame:
+    """(key): lines under which, on most of their articles, items stand that differ from article to article.
 
-    Lines with items are few on a page; articles count once, with the first items they show.
+    Lines with items are few on a page. An article of a host counts once, with one of the first items it shows.
     """
-    wide = pages.filter("sig is not null")
-    led = wide.select("sig", F.explode(F.arrays_zip("heads", "firsts")).alias("h")).select("sig", F.col("h.heads").alias("key"), F.col("h.firsts").alias("first"))
-    recurring_keys = known.select("key").distinct()
-    led = led.join(recurring_keys, "key", "left_semi").groupBy("key").agg(F.count_distinct("sig").alias("led"), F.count_distinct("first").alias("firsts"))
-    shown = wide.select("sig", F.explode(F.array_distinct("keys")).alias("key")).join(led.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("sig").alias("shown"))
-    return led.join(shown, "key").filter((F.col("led") >= HEADS_SHARE * F.col("shown")) & (F.col("firsts") >= HEADS_VARIETY * F.col("led")) & (F.col("firsts") > 1)).select("key")
+    led = pages.filter("sig is not null").select("host", "sig", F.explode(F.arrays_zip("heads", "firsts")).alias("h")).groupBy(F.col("h.heads").alias("key"), "host", "sig").agg(F.min("h.firsts").alias("first"))
+    led = led.groupBy("key").agg(F.count(F.lit(1)).alias("led"), F.count_distinct("first").alias("firsts")).filter((F.col("firsts") > 1) & (F.col("firsts") >= HEADS_VARIETY * F.col("led")))
+    shown = of_host.join(led.select("key"), "key", "left_semi").groupBy("key").agg(F.sum("titles").alias("shown"))
+    return led.join(shown, "key").filter(F.col("led") >= HEADS_SHARE * F.col("shown")).select("key")
 
 
 def decide(keys: list[int], feats: list[int], labels: list[int], owners: list[int], known: set[int], heads: set[int]) -> list[int]:
@@ -298,12 +298,12 @@ def furniture(df: DataFrame, id_col: str = "entry_id", url_col: str = "url", con
     """
     kind = df.schema[id_col].dataType.simpleString()
     pages = stage(trees(df, id_col, url_col, content_col, encoded), "trees")
-    known = stage(recurring(pages), "known")
-    heads = heading(pages, known).withColumn("head", F.lit(True))
+    found, of_host = recurring(pages)
+    heads = heading(pages, of_host).withColumn("head", F.lit(True))
+    known = stage(found.join(heads, "key", "left"), "known")
     subtree = pages.select("id", "host", F.explode(F.array_distinct(F.filter(F.concat("keys", "labels"), lambda k: k != 0))).alias("key"))
-    over_all, own = known.filter("host is null").select("key"), known.filter("host is not null")
-    of_host = own.join(heads, "key", "left")
-    hits = subtree.join(over_all.join(heads, "key", "left"), "key").select("id", "key", "head").unionByName(subtree.join(of_host, ["key", "host"]).select("id", "key", "head"))
+    over_all, own = known.filter("host is null").select("key", "head"), known.filter("host is not null")
+    hits = subtree.join(over_all, "key").select("id", "key", "head").unionByName(subtree.join(own, ["key", "host"]).select("id", "key", "head"))
     of_page = hits.groupBy("id").agg(F.collect_set("key").alias("known"), F.collect_set(F.when(F.col("head"), F.col("key"))).alias("heads"))
     joined = pages.select("id", "keys", "feats", "labels", "owners").join(of_page, "id", "left").select("id", "keys", "feats", "labels", "owners", "known", "heads")
 
