@@ -1,7 +1,8 @@
 """Fetch streams: throttle and health as keyed state, first sightings, sessions, windows.
 
 The state functions share their step functions with the batch folds, so a replayed
-stream gives what the batch gives.
+stream gives what the batch gives. A host that is idle for a day in event time is forgotten
+and begins anew; rows later than the watermark are dropped.
 """
 
 from __future__ import annotations
@@ -15,16 +16,25 @@ from pyspark.sql import functions as F
 from weft.operators.state import MIN_DELAY, START, next_delay, next_health
 
 LATE = "10 minutes"
+IDLE_MS = 86_400_000
 
 
 def _value(x):
     return None if x is None or pd.isna(x) else x
 
 
-def throttle(fetches: DataFrame) -> DataFrame:
+def _forget_after(state, rows: pd.DataFrame) -> None:
+    """The state goes a day after its last row; rows that come at the watermark may set no time before it."""
+    state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
+
+
+def throttle(fetches: DataFrame, late: str = LATE) -> DataFrame:
     """(host, fetch_id, delay) after each fetch of a stream of (fetch_id, host, ts, latency, status, retry_after)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         delay = state.get[0] if state.exists else MIN_DELAY
         rows = pd.concat(list(batches)).sort_values(["ts", "fetch_id"], kind="stable")
         out = []
@@ -33,15 +43,19 @@ def throttle(fetches: DataFrame) -> DataFrame:
             delay = next_delay(delay, _value(r.latency), None if status is None else int(status), wait)
             out.append((key[0], r.fetch_id, delay))
         state.update((delay,))
+        _forget_after(state, rows)
         yield pd.DataFrame(out, columns=["host", "fetch_id", "delay"])
 
-    return fetches.groupBy("host").applyInPandasWithState(step, "host string, fetch_id long, delay double", "delay double", "append", "NoTimeout")
+    return fetches.withWatermark("ts", late).groupBy("host").applyInPandasWithState(step, "host string, fetch_id long, delay double", "delay double", "append", "EventTimeTimeout")
 
 
-def health(fetches: DataFrame) -> DataFrame:
+def health(fetches: DataFrame, late: str = LATE) -> DataFrame:
     """(host, fetch_id, score) after each fetch; rests end by event time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         score, until = state.get if state.exists else (START, None)
         rows = pd.concat(list(batches)).sort_values(["ts", "fetch_id"], kind="stable")
         out = []
@@ -50,9 +64,10 @@ def health(fetches: DataFrame) -> DataFrame:
             score, until = next_health(score, _value(until), r.ts.timestamp(), None if status is None else int(status))
             out.append((key[0], r.fetch_id, score))
         state.update((score, until))
+        _forget_after(state, rows)
         yield pd.DataFrame(out, columns=["host", "fetch_id", "score"])
 
-    return fetches.groupBy("host").applyInPandasWithState(step, "host string, fetch_id long, score int", "score int, until double", "append", "NoTimeout")
+    return fetches.withWatermark("ts", late).groupBy("host").applyInPandasWithState(step, "host string, fetch_id long, score int", "score int, until double", "append", "EventTimeTimeout")
 
 
 def first_sightings(fetches: DataFrame, late: str = LATE) -> DataFrame:
