@@ -55,3 +55,31 @@ def test_sitemap_levels_and_discovery(spark):
     assert [tuple(r) for r in got.collect()] == [("https://a.example/x", "2024")]
     more = spark.createDataFrame([("https://www.a.example/x?utm_source=1",), ("https://sub.a.example/y",), ("https://b.example/",)], "url string")
     assert {r["url"] for r in web.discovered("a.example", got, more).collect()} == {"https://a.example/x", "https://www.a.example/x", "https://sub.a.example/y"}
+
+
+def test_files_are_written_whole(tmp_path):
+    from weft.sources.files import write_whole
+
+    path = tmp_path / "a.json"
+    write_whole(str(path), "one")
+    write_whole(str(path), b"two")
+    assert path.read_text() == "two" and oct(path.stat().st_mode & 0o777) == "0o600" and [p.name for p in tmp_path.iterdir()] == ["a.json"]
+
+
+def test_capabilities_come_from_the_queries():
+    from weft.queries import CORE
+
+    told = {c["name"]: c for c in CORE.capabilities()}
+    assert set(told) == set(CORE.queries) and told["web_sitemaps"]["stated"] and told["search_quorum"]["area"] == "search"
+
+
+def test_progress_is_told_and_may_fail():
+    from types import SimpleNamespace as Of
+
+    from weft.streaming.state import Progress
+
+    seen = []
+    event = Of(progress=Of(name="q", batchId=3, numInputRows=7, processedRowsPerSecond=1.5))
+    Progress(lambda *a: seen.append(a)).onQueryProgress(event)
+    Progress(lambda *a: 1 / 0).onQueryProgress(event)
+    assert seen == [("q", 3, 7, 1.5)]

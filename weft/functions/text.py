@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
@@ -422,3 +422,11 @@ def fetch_summary(status: Column, size: Column, kind: Column, error: Column, pag
         .when((F.coalesce(status, F.lit(0)) == 0) | (status >= 400), "fetch failed").when(content_ok & (page_kind == "list"), "follow its links").when(content_ok & page_kind.isin("auth_wall", "paywall"), "use an archive or another source").otherwise("")
     )
     return {"summary": F.concat_ws(" · ", head, F.concat_ws(" ", human_size(size), kind)), "next_action": action}
+
+
+def font_sizes(spans: DataFrame, group: str) -> DataFrame:
+    """(group, median_size, main_size) of text spans (group, size, text): the middle size of all spans, and the one that most characters have (ties: the smaller)."""
+    sized = spans.filter("size is not null")
+    per = sized.groupBy(group, "size").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    main = per.groupBy(group).agg(F.max(F.struct("chars", -F.col("size"))).alias("m")).select(group, (-F.col("m")["col2"]).alias("main_size"))
+    return sized.groupBy(group).agg(F.median("size").alias("median_size")).join(main, group)

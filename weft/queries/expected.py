@@ -503,6 +503,11 @@ ROWS: dict[str, list[tuple]] = {
         (2, ''),
         (3, 'a - b'),
     ],
+    'pdf_font_sizes': [
+        (1, 10.0, 10.0),
+        (2, 10.5, 9.0),
+        (3, 8.0, 8.0),
+    ],
     'url_unsafe_reasons': [
         ('https://a.example/x', None),
         ('http://127.0.0.1/', 'private'),

@@ -439,6 +439,14 @@ def _(spark, df):
     return df.select("id", T.dehyphenate(F.col("lines")).alias("text"))
 
 
+_SPANS = [(1, 10.0, "body text"), (1, 10.0, "more"), (1, 14.0, "Title"), (1, None, "x"), (2, 9.0, "ab"), (2, 12.0, "cd"), (3, 8.0, None)]
+
+
+@fixture("pdf_font_sizes", "page int, median_size double, main_size double", _SPANS, "page int, size double, text string")
+def _(spark, df):
+    return T.font_sizes(df, "page")
+
+
 # --- urls and search
 
 _UNSAFE = [(u,) for u in ("https://a.example/x", "http://127.0.0.1/", "http://0x7f.1/", "http://2130706433/", "http://[::1]/", "http://[::ffff:10.0.0.1]/", "http://192.168.0.9:8080/", "http://169.254.169.254/latest", "http://metadata.google.internal/", "ftp://a.example/", "https://u:p@a.example/", "http://localhost./", "https://x.internal/", "https://1.2.3.4.nip.io/", "https://8.8.8.8/", "https://a.example:99999/", "https://a.example/\nx", "", None)]

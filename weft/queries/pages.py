@@ -98,6 +98,12 @@ def pages_kind(spark, d):
     return _pages(spark, d).select("entry_id", k["kind"].alias("kind"), k["ok"].alias("ok"))
 
 
+@CORE.add("pages_kind_counts", "WITH t AS (" + CORE.sql["pages_kind"] + ") SELECT kind, count(*) AS pages, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS ok FROM t GROUP BY kind")
+def pages_kind_counts(spark, d):
+    """Pages by kind, and how many of them have enough content."""
+    return pages_kind(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("pages"), F.count_if("ok").alias("ok"))
+
+
 @CORE.add("pages_blocked", """WITH e AS (SELECT DISTINCT entry_id, status, array_to_string(CAST(json(content) AS VARCHAR[]), chr(10)) AS text FROM cache_entries)
     SELECT entry_id, CASE WHEN status = 429 THEN 'rate' WHEN regexp_matches(text, '(?i)pardon\\s+our\\s+interruption|attention\\s+required|captcha-delivery\\.com|_Incapsula_Resource|blocked\\s+by\\s+network\\s+security') THEN 'vendor'
       WHEN status IN (403, 503) AND NOT regexp_matches(text, '^\\s*[\\[{]') THEN 'status' WHEN status >= 400 AND length(text) < 10000 AND regexp_matches(text, '(?i)access\\s+denied|checking\\s+your\\s+browser|g-recaptcha|h-captcha') THEN 'marker'

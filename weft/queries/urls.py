@@ -200,6 +200,12 @@ def url_source_type(spark, d):
     return hits(spark, d).select("hit_id", C.source_type("url").alias("source_type"))
 
 
+@CORE.add("url_source_counts", "WITH t AS (" + CORE.sql["url_source_type"] + ") SELECT source_type, count(*) AS hits FROM t GROUP BY source_type")
+def url_source_counts(spark, d):
+    """Hits by kind of source."""
+    return url_source_type(spark, d).groupBy("source_type").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @CORE.add(
     "url_source_authority",
     rf"""WITH {parts_sql('cache_entries', 'entry_id')}

@@ -26,3 +26,10 @@ class Registry:
             return fn
 
         return keep
+
+    def capabilities(self) -> list[dict]:
+        """{name, about, area, stated}: what can be asked, from the queries themselves; ``stated`` where SQL gives the same rows."""
+        return [
+            {"name": n, "about": (q.__doc__ or "").strip().split("\n")[0], "area": q.__module__.rsplit(".", 1)[-1], "stated": n in self.sql}
+            for n, q in sorted(self.queries.items())
+        ]

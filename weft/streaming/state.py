@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from weft.operators.state import MIN_DELAY, START, next_delay, next_health
 
@@ -85,3 +86,29 @@ def per_window(fetches: DataFrame, size: str = "1 hour", slide: str | None = Non
     """(started, ended, fetches) by tumbling or sliding windows."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return fetches.withWatermark("ts", late).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("fetches")).select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "fetches")
+
+
+class Progress(StreamingQueryListener):
+    """Tells a function of (query name, batch, input rows, rows a second) about every batch of every stream.
+
+    ``spark.streams.addListener(Progress(told))``; a function that fails stops no stream.
+    """
+
+    def __init__(self, told) -> None:
+        self.told = told
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        try:
+            self.told(p.name, p.batchId, p.numInputRows, p.processedRowsPerSecond)
+        except Exception:
+            pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
