@@ -461,7 +461,8 @@ def similar(
             break
         large = got.filter("node is not null and doc is not null").join(named, "node")
         # where most pairs are near, splitting finds the same pairs over and over
-        found.append(_in_blocks(large.filter("alike = 1") if level < LEVELS else large, most, node_limit))
+        if level == LEVELS or not named.filter("alike = 1").isEmpty():
+            found.append(_in_blocks(large.filter("alike = 1") if level < LEVELS else large, most, node_limit))
         if level == LEVELS or named.filter("alike = 0").isEmpty():
             break
         postings = _split(docs, large.filter("alike = 0"), level + 1)
