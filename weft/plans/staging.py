@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -60,13 +61,14 @@ def sweep() -> int:
 
 
 def ensure_package(spark: SparkSession) -> None:
-    """Ship this package to executors that don't see the driver's files."""
+    """Ship this package to workers that don't see the driver's files: those of a cluster, and local ones started elsewhere."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_weft_shipped", False):
+    if getattr(sc, "_weft_shipped", False):
         return
-    import os
-
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    folder = tempfile.mkdtemp(prefix="weft-package-")
-    sc.addPyFile(shutil.make_archive(os.path.join(folder, "weft"), "zip", root, "weft"))
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if not (sc.master.startswith("local") and root in map(os.path.abspath, filter(None, seen))):
+        folder = tempfile.mkdtemp(prefix="weft-package-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "weft"), "zip", root, "weft"))
     sc._weft_shipped = True
