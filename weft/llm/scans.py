@@ -33,6 +33,8 @@ LEAST_COUNT = 5
 DOMINANCE = 20
 #: Log odds that the words around can add against a correction and in favour of it.
 AGAINST, IN_FAVOUR = 3.0, 1.5
+#: Deviations that true and chance similarities must lie apart for the words around to tell anything.
+APART = 0.25
 #: Documents in whose page edges a template must recur, and how many of the lines of that form must stand there.
 TEMPLATE_DOCS, TEMPLATE_EDGE = 4, 0.5
 #: Counts from which a word may be a fixed one of a template; names may be as frequent as the first.
@@ -122,6 +124,8 @@ class Context:
                 self._signs[x] = signs([x])[0]
             total += self._signs[x]
         (m1, d1), (m0, d0) = self.true, self.chance
+        if m1 - m0 < APART * (d0 + d1) / 2:  # words are no more at home where they stand than elsewhere
+            return 0.0
         x = float(np.dot(total, own)) / float(np.linalg.norm(total) or 1.0)
         x = min(max(x, m0 - d0), m1 + d1)  # beyond, the tails of the two say nothing
         odds = math.log(d0 / d1) + (x - m0) ** 2 / (2 * d0 * d0) - (x - m1) ** 2 / (2 * d1 * d1)
@@ -493,7 +497,7 @@ def learn(docs: DataFrame) -> Lexicon:
     several = {r["word"]: r["n"] for r in words.filter("n > 1").collect()}  # all that come once count 1 without being listed
     counts = {w: n for w, n in several.items() if n >= LEAST_COUNT}
     rare = {w: n for w, n in several.items() if n < LEAST_COUNT}
-    context = contexts(docs, _vectors(docs, counts)) if counts else Context({})
+    context = contexts(docs, _vectors(docs, counts), counts) if counts else Context({})
     shared = docs.sparkSession.sparkContext.broadcast(Lexicon(counts, context, rare=rare))
 
     def edges(batches):
@@ -575,19 +579,20 @@ def _vectors(docs: DataFrame, counts: dict[str, int]) -> dict[str, np.ndarray]:
     return {w: _unit(v) for w, v in out.items()}
 
 
-def contexts(docs: DataFrame, vectors: dict[str, np.ndarray]) -> Context:
+def contexts(docs: DataFrame, vectors: dict[str, np.ndarray], counts: dict[str, int]) -> Context:
     """How similar words are to what stands around them, and to what stands around any word, over all documents.
 
-    What chance gives follows from the first and second moments of both sides, whatever the order of the documents.
+    Every word weighs the same, however often it comes. What chance gives follows from the first
+    and second moments of both sides, whatever the order of the documents.
     """
     names = sorted(vectors)
     if len(names) < 2:
         return Context(vectors)
-    shared = docs.sparkSession.sparkContext.broadcast((names, np.stack([vectors[w] for w in names])))
+    shared = docs.sparkSession.sparkContext.broadcast((names, np.stack([vectors[w] for w in names]), np.array([1.0 / counts[w] for w in names], np.float32)))
     d = DIMENSIONS
 
     def run(batches):
-        names, rows = shared.value
+        names, rows, weights = shared.value
         get, axes = {w: i for i, w in enumerate(names)}.get, signs(names)
         total = np.zeros(3 + 2 * d + 2 * d * d)
         for b in batches:
@@ -600,16 +605,17 @@ def contexts(docs: DataFrame, vectors: dict[str, np.ndarray]) -> Context:
                     at = np.arange(len(own))
                     near = sums[np.minimum(at + WINDOW + 1, len(own))] - sums[np.maximum(at - WINDOW, 0)] - x
                     near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
-                    y = (near * v).sum(1)
-                    total += np.concatenate([[len(y), y.sum(), (y * y).sum()], near.sum(0), v.sum(0), (near.T @ near).ravel(), (v.T @ v).ravel()])
+                    y, m = (near * v).sum(1), weights[own]
+                    wide_near, wide_v = near * m[:, None], v * m[:, None]
+                    total += np.concatenate([[m.sum(), (y * m).sum(), (y * y * m).sum()], wide_near.sum(0), wide_v.sum(0), (wide_near.T @ near).ravel(), (wide_v.T @ v).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "x"])
 
     got = map_arrow(docs.select("pages"), run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
     t = np.zeros(3 + 2 * d + 2 * d * d)
     for r in got:
         t[r["at"]] = r["x"]
-    n, mean, square = t[0], *(t[1:3] / max(t[0], 1.0))
-    if n < 2:
+    n, mean, square = t[0], *(t[1:3] / (t[0] or 1.0))
+    if n <= 0:
         return Context(vectors)
     near, own = t[3 : 3 + d] / n, t[3 + d : 3 + 2 * d] / n
     by_chance = float(near @ own)
